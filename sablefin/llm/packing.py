@@ -14,8 +14,11 @@ partition decides neighbours; a null doc_id is carried as null; an empty table g
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,44 +27,82 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sablefin.llm.kernels import slices
 from sablefin.llm.shared import table
 
 CAPACITY, CLASSES, END_ID = 4096, 32, 2
-CACHE_WORDS = 1_000_000
+CACHE_WORDS, BATCH_BYTES = 1_000_000, 8 << 20
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 SCHEMA = ", ".join(f"{c} long" for c in COLUMNS)
 
 
 class Encoder:
-    """Ids of texts. White space ends every pre-token of this vocabulary, so words are encoded once and looked up after."""
+    """Ids of texts. White space ends every pre-token of this vocabulary, so each word is looked up after it is seen once.
+
+    A word of Latin letters and then ASCII marks (no apostrophe) is two pre-tokens, the first in lower
+    case; these pieces are shared between words and go straight to the merge model, as bytes written in
+    the vocabulary's alphabet. Other words go through the whole tokenizer as they stand.
+    """
+
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
         self.clear()
 
+    @staticmethod
+    def shared(path: str) -> Encoder:
+        """One encoder for each worker process and vocabulary, kept over its tasks."""
+        held = sys.modules.setdefault("_sablefin_encoders", types.ModuleType("_sablefin_encoders")).__dict__
+        if path not in held:
+            held[path] = Encoder(path)
+        return held[path]
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def batch(self, texts: list[str], odd: list[bool]) -> Iterator[np.ndarray]:
-        """odd: texts with the separators U+001C to U+001F, which str.split drops and the tokenizer keeps."""
-        split = [re.findall(r"[^\x20\x09-\x0D]+", t) if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        self.pieces: dict[str, int] = {"": 0}
+        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.parts = np.zeros((0, 2), np.int64)
+
+    def encode(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of plain pieces."""
+        merge = self.tokenizer.model.tokenize
+        return [[t.id for t in merge(p.encode().decode("latin-1").translate(self.alphabet))] for p in pieces]
+
+    def learn(self, words: list[str]) -> None:
+        at, n = self.pieces, len(self.index)
+        plain = [m.groups() if (m := self.PLAIN.fullmatch(w)) else None for w in words]
+        split = [(m[0].lower(), m[1]) if m else (w, "") for w, m in zip(words, plain, strict=True)]
+        new = list({p for pair, m in zip(split, plain, strict=True) if m for p in pair}.difference(at))
+        other = list({w for w, m in zip(words, plain, strict=True) if not m}.difference(at))
+        ids = self.encode(new) + [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        at.update(zip([*new, *other], range(len(at), len(at) + len(ids)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        pairs = np.fromiter((at[p] for pair in split for p in pair), np.int64, 2 * len(split))
+        self.parts = np.concatenate((self.parts, pairs.reshape(-1, 2)))
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        fresh = list({w for words in split for w in words}.difference(self.index))
-        for i in range(0, len(fresh), 50_000):
-            part = fresh[i : i + 50_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            n = len(self.index)
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for e in ids for x in e), np.uint32, int(sizes.sum()))))
-        for words in split:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            first, sizes = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
+        fresh = [w for w in words if w not in self.index]
+        if fresh:
+            self.learn(fresh)
+        parts = self.parts[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            at = parts[code[a:b]].ravel()
+            first = self.offsets[at]
+            sizes = self.offsets[at + 1] - first
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
             out = np.empty(total + 1, np.uint32)
@@ -140,7 +181,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches):
-        encoder = Encoder(vocabulary)
+        encoder = Encoder.shared(vocabulary)
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, classes)
 
         def flush():
@@ -148,11 +189,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COLUMNS))], list(COLUMNS))
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                column = pc.fill_null(batch.column("text"), "")
-                odd = pc.match_substring_regex(column, "[\\x1c-\\x1f]").to_pylist()
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(column.to_pylist(), odd), strict=True):
+            column = pc.fill_null(whole.column("text"), "").cast(pa.large_string())
+            bounds = np.concatenate(([0], np.cumsum(pc.binary_length(column).to_numpy())))
+            for a, b in slices(bounds, BATCH_BYTES):
+                for doc, ids in zip(whole.column("doc_id").slice(a, b - a).to_pylist(), encoder.batch(column.slice(a, b - a)), strict=True):
                     packer.add(doc, ids)
                 if packer.rows:
                     yield flush()
