@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
-    "op1_near_dedup": "minhash", "op2_warc": "warc", "op4_quality": "quality", "op6_packing": "packing", "op9_secrets": "secrets", "op10_pii": "pii",
+    "op1_near_dedup": "minhash", "op2_warc": "warc", "op4_quality": "quality", "op6_packing": "packing", "op8_line_dedup": "lines", "op9_secrets": "secrets", "op10_pii": "pii",
 }
 
 
