@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
-    "op1_near_dedup": "minhash", "op2_warc": "warc", "op4_quality": "quality", "op5_decontaminate": "decontaminate", "op6_packing": "packing", "op7_language": "language", "op8_line_dedup": "lines", "op9_secrets": "secrets", "op10_pii": "pii",
+    "op1_near_dedup": "minhash", "op2_warc": "warc", "op3_lm_score": "ppm", "op4_quality": "quality", "op5_decontaminate": "decontaminate", "op6_packing": "packing", "op7_language": "language", "op8_line_dedup": "lines", "op9_secrets": "secrets", "op10_pii": "pii",
 }
 
 
