@@ -201,27 +201,42 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], Network | None]:
     return langs, net
 
 
+def judge(text: pa.Array, langs: list[str], net: Network | None) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of a column of whole texts."""
+    n = len(text)
+    best, score = np.zeros(n, np.int64), np.zeros(n)
+    if net is not None:
+        lut = K.byte_table()
+        data, offsets = K.buffers(text)
+        for a, b in K.slices(offsets, 4 << 20):
+            p = net.documents(lut[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
+            best[a:b], score[a:b] = p.argmax(axis=1), p.max(axis=1)
+    letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    found = letters & (net is not None)
+    names = np.array([*langs, "und"], dtype=object)[np.where(found, best, len(langs))]
+    return names, np.where(found, np.clip(score, 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, langs: list[str], net: Network | None) -> DataFrame:
-    """docs (row order kept within partitions) with lang_pred and score."""
-    schema = ", ".join(["doc_id long", "lang_pred string", "score double"])
+    """doc_id, lang_pred and score of each row."""
 
     def run(batches):
-        lut = K.byte_table()
         for batch in batches:
-            text = batch.column("text")
-            n = batch.num_rows
-            best, score = np.zeros(n, np.int64), np.zeros(n)
-            if net is not None:
-                data, offsets = K.buffers(text)
-                for a, b in K.slices(offsets, 4 << 20):
-                    p = net.documents(lut[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
-                    best[a:b], score[a:b] = p.argmax(axis=1), p.max(axis=1)
-            letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            found = letters & (net is not None)
-            names = np.array([*langs, "und"], dtype=object)[np.where(found, best, len(langs))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(found, np.clip(score, 0, 1), 0.0))], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+            names, score = judge(batch.column("text"), langs, net)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, langs: list[str], net: Network | None, min_score: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language of at least min_score."""
+
+    def run(batches):
+        for batch in batches:
+            names, score = judge(batch.column("text"), langs, net)
+            yield batch.filter(pa.array((names != "und") & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
