@@ -6,11 +6,12 @@ Every coordinate is filled, and a long set needs only a round or two. Bands of R
 bucket keys; at similarity s a pair shares one of BANDS keys but for (1 - s**ROWS)**BANDS, which is
 4e-7 at 0.85.
 
-Documents with equal sets form one class (by size and a 128-bit digest of the set). In each bucket
-all classes are first held against the bucket's smallest one; full sets decide. Only buckets that
-still hold several components go on: pairs across components, best sketch agreement first, are
-verified in rounds of growing width until no pair is left, so no link between components is lost and
-no group's pairs are ever all listed while it holds together.
+Documents with equal sets form one class (by size and a 128-bit digest of the set). First come stars,
+one pair a class: each bucket has a centre (the class with the fullest buckets, which is what the others
+were copied from; in later rounds another by hash), and full sets decide. Only buckets that still hold
+several components go on: their pairs across components whose sketches agree enough are listed once and
+verified, best agreement first, in rounds of growing width until none is left. So no link between
+components is lost, and no group's pairs are all listed while it holds together.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; one or
 two words are one shingle; a row with a null doc_id takes no part, its component_id is null and it is
@@ -32,7 +33,7 @@ from sablefin.llm.shared import materialise, table
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 ROW_BITS = 10
-WIDTHS = (4, 32, 256, None)
+STARS, WIDTHS = 3, (4, 64, None)
 
 
 def shingle_keys(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,53 +159,46 @@ def agreement(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v) / F.lit(SIZE)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slack: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slack: float = 0.16) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
-    slack: a pair whose sketches agree in less than percent/100 - slack is not verified (over six
-    standard deviations of SIZE coordinates).
+    slack: a pair whose sketches agree in less than percent/100 - slack is not verified (five standard
+    deviations of SIZE coordinates at 0.85).
     """
     rows = materialise(sketch_table(docs, words), "sketches")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class")), "classes")
     keyed = full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "n_shingles", "d1", "d2"])
     buckets = keyed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("top"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("top.id").alias("b"), F.col("top.n").alias("nb"))
-    shared = materialise(shared, "buckets")
+    shared = materialise(buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     held = materialise(buckets.join(shared, "key"), "held")
-    fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    pairs = held.filter((F.col("id") != F.col("b")) & fits(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b").distinct()
-    pairs = materialise(pairs, "pairs")
-    links = materialise(verified(pairs, docs, words, percent), "verified")
-    tested = pairs
-    sketch = None
-    for width in WIDTHS:
+    sketch = rows.select(F.col("doc_id").alias("id"), "sketch").join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sketch = materialise(sketch, "own-sketches")
+    least = percent / 100 - slack
+    weight = held.groupBy("id").agg(F.sum("size").alias("weight"))
+    rest = materialise(held.join(weight, "id").withColumn("label", F.col("id")), "rest")
+    tested, links = None, None
+    for number in range(STARS):
+        order = F.struct(-F.col("weight"), "id") if number == 0 else F.struct(F.xxhash64("id", F.lit(number)), "id")
+        more = agreeing(star_pairs(rest, order, percent), sketch, least)
+        more = materialise(more if tested is None else untested(more, tested), "pairs")
+        tested, links = joined(tested, more), joined(links, verified(more, docs, words, percent))
+        links = materialise(links, "verified")
         labels = components(links)
-        marked = held.select("id", "n", "key").join(labels, F.col("id") == F.col("v"), "left").select("id", "n", "key", F.coalesce("label", "id").alias("label"))
-        mixed = marked.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-        rest = materialise(marked.join(mixed, "key", "left_semi"), "rest")
+        rest = mixed_buckets(held.join(weight, "id"), labels)
         if rest.isEmpty():
             break
-        sketch = sketch or rows.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
-        rest = materialise(rest.join(sketch, "id"), "rest")
-        # Sizes differ by less than a factor 100/percent, so a row meets its own size class and the next.
-        step = float(np.log(100 / percent))
-        band = F.floor(F.log(F.col("n").cast("double")) / step)
-        x = rest.select("key", band.alias("w"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
-        y = rest.select("key", F.explode(F.array(band, band - 1, band + 1)).alias("w"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("sketch").alias("sb"))
-        across = x.join(y, ["key", "w"]).filter((F.col("la") > F.col("lb")) & fits(F.col("na"), F.col("nb")))
-        across = across.select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("agree")).filter(F.col("agree") >= percent / 100 - slack)
-        across = untested(across.distinct(), tested)
-        if width:
-            order = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
-            across = across.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= width)
-        more = materialise(across.select("a", "b"), "pairs")
-        if more.isEmpty():
-            break
-        tested = tested.union(more)
-        links = materialise(links.union(verified(more, docs, words, percent)), "verified")
     else:
-        labels = components(links)
+        across = materialise(untested(crossing(rest, sketch, percent, least), tested), "across")
+        for width in WIDTHS:
+            left = named_ends(across, labels).filter("la != lb")
+            if width:
+                best = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
+                left = left.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width)
+            more = materialise(untested(left.select("a", "b"), tested), "pairs")
+            if not more.isEmpty():
+                tested, links = tested.union(more), materialise(links.union(verified(more, docs, words, percent)), "verified")
+                labels = components(links)
     named = classes.join(labels, F.col("class") == F.col("v"), "left").select("n_shingles", "d1", "d2", F.coalesce("label", "class").alias("component_id"))
     named = materialise(named, "named")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -214,6 +208,52 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slack: f
     )
 
 
+def joined(known: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if known is None else known.union(more)
+
+
+def fits(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes may reach the similarity at all."""
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+
+
+def star_pairs(rest: DataFrame, order: Column, percent: int) -> DataFrame:
+    """For each class one pair (a, b) at most: with the centre of that of its buckets whose centre is the weightiest."""
+    tops = rest.groupBy("key").agg(F.min_by(F.struct("id", "n", "weight", "label"), order).alias("top"))
+    near = rest.join(tops, "key").filter((F.col("label") != F.col("top.label")) & fits(F.col("n"), F.col("top.n"), percent))
+    return near.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("top.weight", -F.col("top.id"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
+
+
+def agreeing(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
+    x = sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    y = sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(x, "a").join(y, "b").filter(agreement(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+
+
+def mixed_buckets(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of held, with labels, of the buckets that hold several components."""
+    marked = materialise(held.join(labels, F.col("id") == F.col("v"), "left").select("id", "n", "key", "weight", F.coalesce("label", "id").alias("label")), "marked")
+    mixed = marked.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
+    return materialise(marked.join(mixed, "key", "left_semi"), "rest")
+
+
+def crossing(rest: DataFrame, sketch: DataFrame, percent: int, least: float) -> DataFrame:
+    """(a, b, agree) of all pairs in a bucket whose components differ, sizes fit and sketches agree enough."""
+    full = rest.join(sketch, "id")
+    # Sizes differ by less than a factor 100/percent, so a row meets its own size class and the next.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    x = full.select("key", band.alias("w"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
+    y = full.select("key", F.explode(F.array(band, band - 1, band + 1)).alias("w"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("sketch").alias("sb"))
+    near = (F.col("la") > F.col("lb")) & fits(F.col("na"), F.col("nb"), percent) & (agreement(F.col("sa"), F.col("sb")) >= least)
+    return x.join(y, ["key", "w"]).filter(near).select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("agree")).distinct()
+
+
+def named_ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs with the components of both ends."""
+    x, y = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+
+
 def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     known = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return pairs.join(known, ["a", "b"], "left_anti")
