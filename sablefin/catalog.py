@@ -253,9 +253,9 @@ def span_near(spark, sf):
     return best(hits(A.span_proximity("text", ("re", "ha"), 2), doc_index(spark, sf)))
 
 
-@query(span_sql(f"SELECT b.* FROM ({NEAR.format(test='y.pos - x.pos BETWEEN 1 AND 6')}) b WHERE EXISTS (SELECT 1 FROM pos z WHERE z.doc_id = b.doc_id AND z.term = 'th' AND z.pos >= b.s AND z.pos < b.e)"))
+@query(span_sql(f"SELECT b.* FROM ({NEAR.format(test="y.pos - x.pos BETWEEN 1 AND 81")}) b WHERE EXISTS (SELECT 1 FROM pos z WHERE z.doc_id = b.doc_id AND z.term = 'th' AND z.pos >= b.s AND z.pos < b.e)"))
 def span_containing(spark, sf):
-    big = A.SpanNear((A.SpanTerm("text", "re"), A.SpanTerm("text", "ha")), 5, True)
+    big = A.SpanNear((A.SpanTerm("text", "re"), A.SpanTerm("text", "ha")), 80, True)
     return best(hits(A.SpanContaining(big, A.SpanTerm("text", "th")), doc_index(spark, sf)))
 
 

@@ -77,8 +77,8 @@ def path_depth(path: Column, delimiter: str = "/") -> Column:
 
 def path_parent(path: Column, delimiter: str = "/") -> Column:
     """Null at the root."""
-    n = path_depth(path, delimiter)
-    return F.when(n > 1, F.substring_index(path, delimiter, n - 1))
+    parts = F.filter(F.split(path, F.lit(f"\\Q{delimiter}\\E"), F.lit(-1)), lambda p: p != "")
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), delimiter))
 
 
 def path_within(path: Column, ancestor: str, delimiter: str = "/") -> Column:
