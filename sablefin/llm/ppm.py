@@ -1,15 +1,17 @@
 """Language-model scores: prediction by partial matching over bytes, beside a unigram word base.
 
-The trie has contexts of up to three bytes: the last byte as it is, the one before in 32 classes, the
-one before that in 16. So there are at most 2**17 deepest nodes and 257 symbols (bytes and the end),
-a fixed bound for what is broadcast, and counts of all training texts go into it. A symbol is coded
-at the deepest node seen; a node escapes with probability distinct / (total + distinct), and symbols
-seen in the deeper node are excluded above (counts and distinct symbols alike), down to a uniform
-share for symbols never seen. All of this depends only on node and symbol, so the model is one table.
+Contexts are the last ORDER bytes as they are, and each of their shorter ends. A symbol (a byte or the
+end) is coded at the longest context it was seen in; a context escapes with probability distinct /
+(total + distinct), and symbols seen in the longer context are excluded above (counts and distinct
+symbols alike), down to a uniform share for symbols never seen. All of this depends only on context
+and symbol, so the model is a table of cells (context, symbol). It grows with the input, is dealt by
+context, and is never gathered: each level is joined with the one a byte shorter, where a row has at
+most 256 partners.
 
 Words for the base are counted in blocks of documents (by hash of the id, about BLOCK_BYTES of text
 each), so a word is shuffled once a block and not once a document, and each block gets back only the
-counts of its own words.
+counts of its own words. Cells go the same way: counted by block, and given back to the blocks that
+have them, with their probability.
 
 Defined cases: null texts are empty (one end token); a null doc_id is on the training side; without
 training texts N and V are 0 and all symbols are uniform; repeated rows count as often as they occur.
@@ -22,7 +24,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sablefin.llm import kernels as K
@@ -30,37 +32,16 @@ from sablefin.llm.language import remainder
 from sablefin.llm.shared import materialise, table
 
 SYMBOLS, END = 257, 256
-FINE, COARSE = 32, 16
-NODES = 256 * FINE * COARSE
-BLOCK_BYTES = 32 << 20
-
-
-def folds() -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the second and third byte back: letters by themselves, then kinds of others."""
-    fine = np.zeros(256, np.int64)
-    for b in range(256):
-        c = chr(b)
-        if 97 <= b <= 122:
-            fine[b] = 1 + b - 97
-        elif b == 32:
-            fine[b] = 27
-        elif b in (9, 10, 13):
-            fine[b] = 28
-        elif 48 <= b <= 57:
-            fine[b] = 29
-        elif b < 128:
-            fine[b] = 30 if c.isprintable() else 0
-        else:
-            fine[b] = 31
-    groups = ["aou", "ei", "bp", "cg", "dt", "fv", "h", "jkqx", "l", "mn", "r", "sz", "wy"]
-    coarse = np.array([next((i for i, g in enumerate(groups) if chr(b) in g), 13 if b in (9, 10, 13, 32) else 14 if b < 128 else 15) for b in range(256)])
-    return fine, coarse
-
-
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Deepest node and symbol of each byte and each end, rows one after another; offsets of row r move by r."""
+ORDER, SYMBOL_BITS = 5, 9
+BLOCK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+
+
+def cells_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Cell of each byte and each end, rows one after another; offsets of row r move by r.
+
+    A cell is the context's bytes, the last one lowest, above SYMBOL_BITS of the symbol.
+    """
     n = len(offsets) - 1
-    fine, coarse = folds()
     total = len(data) + n
     ends = offsets[1:] + np.arange(n)
     symbol = np.empty(total, np.int64)
@@ -69,15 +50,15 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     symbol[~is_end] = data
     symbol[is_end] = END
     first = offsets[:-1] + np.arange(n)
-    back = []
-    for k in (1, 2, 3):
+    out = symbol.copy()
+    for k in range(1, ORDER + 1):
         b = np.zeros(total, np.int64)
         b[k:] = symbol[:-k]
         for j in range(k):  # before a row's first byte there are zero bytes
             at = first + j
             b[at[at <= ends]] = 0
-        back.append(np.where(b == END, 0, b))
-    return (back[0] * FINE + fine[back[1]]) * COARSE + coarse[back[2]], symbol
+        out |= b << (SYMBOL_BITS + 8 * (k - 1))
+    return out
 
 
 def lowered(column) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +83,7 @@ def coded(column) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def block_counts(block: pa.Table) -> pa.Table:
-    """For one block: each word with its training count, and each trie cell with its training count."""
+    """For one block: each word and each cell with its training count."""
     column = block.column("text").combine_chunks()
     train = ~np.asarray(block.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool)
     row, code, words = coded(column)
@@ -110,23 +91,17 @@ def block_counts(block: pa.Table) -> pa.Table:
     keep = pc.not_equal(words, "")
     names = words.filter(keep).cast(pa.string())
     n = n[np.asarray(keep.to_numpy(zero_copy_only=False), bool)]
-    cells, sums = [], []
+    cells, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     data, offsets = lowered(column)
-    for a, b in K.slices(offsets, 8 << 20):
-        ctx, symbol = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+    for a, b in K.slices(offsets, SLICE_BYTES):
+        all_ = cells_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         live = np.repeat(train[a:b], np.diff(offsets[a : b + 1]) + 1)
-        ctx, symbol = ctx[live], symbol[live]
-        seen = np.zeros(NODES, bool)
-        seen[ctx] = True
-        nodes = np.flatnonzero(seen)
-        place = np.zeros(NODES, np.int64)
-        place[nodes] = np.arange(len(nodes))
-        flat = np.bincount(place[ctx] * SYMBOLS + symbol, minlength=len(nodes) * SYMBOLS)
-        some = np.flatnonzero(flat)
-        cells.append(nodes[some // SYMBOLS] * SYMBOLS + some % SYMBOLS)
-        sums.append(flat[some])
-    cell, at = np.unique(np.concatenate(cells), return_inverse=True) if cells else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    total = np.bincount(at, weights=np.concatenate(sums), minlength=len(cell)).astype(np.int64) if len(cell) else np.zeros(0, np.int64)
+        for part, weight in ((all_[live], 1), (all_[~live], 0)):  # a held-out cell is counted nowhere, but asked for
+            found = pc.value_counts(pa.array(part))
+            cells.append(found.field("values").to_numpy())
+            sums.append(found.field("counts").to_numpy() * weight)
+    cell, at = np.unique(np.concatenate(cells), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(sums), minlength=len(cell)).astype(np.int64)
     number = block.column("block")[0].as_py() if block.num_rows else 0
     both = len(names) + 1 + len(cell)
     return pa.table({
@@ -137,57 +112,35 @@ def block_counts(block: pa.Table) -> pa.Table:
     })
 
 
-class Trie:
-    """Log10 probabilities by node and symbol, from cell counts."""
-
-    def __init__(self, cells: np.ndarray, counts: np.ndarray):
-        nodes, at = np.unique(cells // SYMBOLS, return_inverse=True)
-        deep = np.zeros((len(nodes), SYMBOLS))
-        deep[at, cells % SYMBOLS] = counts
-        levels = [(nodes, deep)]
-        for width in (COARSE, FINE, 256):
-            below, table_ = levels[-1]
-            up, at = np.unique(below // width, return_inverse=True)
-            sums = np.zeros((len(up), SYMBOLS))
-            np.add.at(sums, at, table_)
-            levels.append((up, sums))
-        if not len(nodes):
-            levels[-1] = (np.zeros(1, np.int64), np.zeros((1, SYMBOLS)))
-        levels.reverse()  # from the root down
-        ids, counts_ = levels[0]
-        free = SYMBOLS - (counts_ > 0).sum(axis=1, keepdims=True)
-        rest = np.where(counts_ > 0, 0.0, 1.0 / np.maximum(free, 1))  # of symbols not seen in the node: given it escapes
-        self.rows = [self.spread(counts_, rest)]
-        row = np.zeros(1, np.int64)
-        start = 1
-        for depth, width in ((1, 256), (2, FINE), (3, COARSE)):
-            below, table_ = levels[depth]
-            parent = np.searchsorted(ids, below // width)
-            over = np.where(table_ > 0, 0.0, counts_[parent])  # the parent's counts without what the node has seen
-            kinds, total = (over > 0).sum(axis=1, keepdims=True), over.sum(axis=1, keepdims=True)
-            left = SYMBOLS - (counts_[parent] > 0).sum(axis=1, keepdims=True)
-            bottom = np.maximum(total + np.where(left > 0, kinds, 0), 1)
-            escape = np.where(kinds > 0, np.where(left > 0, kinds / bottom, 0.0), 1.0)
-            rest = np.where(table_ > 0, 0.0, np.where(over > 0, over / bottom, escape * rest[parent]))
-            grown = np.repeat(row, width)
-            grown[below] = start + np.arange(len(below))
-            self.rows.append(self.spread(table_, rest))
-            ids, counts_, row, start = below, table_, grown, start + len(below)
-        self.row, self.table = row.astype(np.int32), np.concatenate(self.rows).astype(np.float32)
-        del self.rows
-
-    @staticmethod
-    def spread(counts: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        kinds_ = np.where(kinds < SYMBOLS, kinds, 0)
-        bottom = np.maximum(total + kinds_, 1)
-        p = np.where(counts > 0, counts / bottom, np.where(total > 0, kinds_ / bottom, 1.0) * rest)
-        return np.log10(np.maximum(p, 1e-300))
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        ctx, symbol = contexts(data, offsets)
-        p = self.table.ravel()[self.row[ctx].astype(np.int64) * SYMBOLS + symbol]
-        return np.add.reduceat(p.astype(np.float64), offsets[:-1] + np.arange(len(offsets) - 1)) if len(offsets) > 1 else np.zeros(0)
+def cell_prices(cells: DataFrame) -> DataFrame:
+    """(cell, price): log10 probability of each cell of (cell, n), n the training count."""
+    levels = [materialise(cells.select("cell", "n"), "cells")]
+    for k in range(ORDER - 1, -1, -1):
+        shorter = F.col("cell").bitwiseAND(F.lit((1 << (SYMBOL_BITS + 8 * k)) - 1)).alias("cell")
+        levels.append(materialise(levels[-1].groupBy(shorter).agg(F.sum("n").alias("n")), "cells"))
+    levels.reverse()  # from the empty context down
+    # All symbols of a context are in one group, at most SYMBOLS rows.
+    context = Window.partitionBy(F.shiftright("cell", SYMBOL_BITS))
+    total, kinds = F.sum("n").over(context), F.count_if(F.col("n") > 0).over(context)
+    free = F.greatest(F.lit(SYMBOLS) - F.col("kinds"), F.lit(1))
+    known = levels[0].select("cell", "n", total.alias("total"), kinds.alias("kinds")).withColumn("rest", 1.0 / free)  # of symbols not seen in the context: given it escapes
+    for k in range(1, ORDER + 1):
+        known = materialise(known, "cell-levels")
+        above = known.select(F.col("cell").alias("up"), F.col("n").alias("n_up"), F.col("total").alias("total_up"), F.col("kinds").alias("kinds_up"), F.col("rest").alias("rest_up"))
+        shorter = F.col("cell").bitwiseAND(F.lit((1 << (SYMBOL_BITS + 8 * (k - 1))) - 1))
+        both = levels[k].withColumn("up", shorter).join(above, "up")
+        taken = F.sum(F.when(F.col("n") > 0, F.col("n_up")).otherwise(0)).over(context)
+        both = both.select("*", total.alias("total"), kinds.alias("kinds"), taken.alias("taken"))
+        over, new = F.col("total_up") - F.col("taken"), F.col("kinds_up") - F.col("kinds")
+        escaping = F.when(F.col("kinds_up") < SYMBOLS, new).otherwise(0)
+        bottom = F.greatest(over + escaping, F.lit(1))
+        escape = F.when(new > 0, escaping / bottom).otherwise(1.0)
+        rest = F.when(F.col("n_up") > 0, F.col("n_up") / bottom).otherwise(escape * F.col("rest_up"))
+        known = both.select("cell", "n", "total", "kinds", rest.alias("rest"))
+    escaping = F.when(F.col("kinds") < SYMBOLS, F.col("kinds")).otherwise(0)
+    bottom = F.greatest(F.col("total") + escaping, F.lit(1))
+    p = F.when(F.col("n") > 0, F.col("n") / bottom).otherwise(F.when(F.col("total") > 0, escaping / bottom).otherwise(1.0) * F.col("rest"))
+    return known.select("cell", F.log10(F.greatest(p, F.lit(1e-300))).alias("price"))
 
 
 def score_documents(docs: DataFrame, folds_: int = 7, held: int = 2) -> DataFrame:
@@ -204,13 +157,13 @@ def score_documents(docs: DataFrame, folds_: int = 7, held: int = 2) -> DataFram
     words = materialise(words, "word-counts")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     floor = math.log10(max(1, total["n"] + total["v"] + 1))
-    cells = counted.filter("cell is not null and n > 0").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most NODES * SYMBOLS rows
-    trie = Trie(cells.column("cell").to_numpy(), cells.column("n").to_numpy())
-    model = spark.sparkContext.broadcast((trie.row, trie.table))
+    cells = counted.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
+    cells = materialise(cells, "cell-counts")
 
     def score(block: pa.Table, known: pa.Table) -> pa.Table:
-        made = Trie.__new__(Trie)
-        made.row, made.table = model.value
+        priced = known.filter(pc.is_valid(known.column("cell")))
+        cell, price = priced.column("cell").combine_chunks(), priced.column("price").to_numpy()
+        known = known.filter(pc.is_valid(known.column("word")))
         column = block.column("text").combine_chunks()
         n = block.num_rows
         row, code, names = coded(column)
@@ -225,13 +178,20 @@ def score_documents(docs: DataFrame, folds_: int = 7, held: int = 2) -> DataFram
         base = np.bincount(row, weights=np.log10(c + 1.0)[code], minlength=n) + math.log10(end_count + 1) - number * floor
         seen = np.bincount(row, weights=(c > 0)[code], minlength=n).astype(np.int64) + (end_count > 0)
         data, offsets = lowered(column)
-        whole = [made.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in K.slices(offsets, 4 << 20)]
+        whole = []
+        for a, b in K.slices(offsets, SLICE_BYTES):
+            own = offsets[a : b + 1] - offsets[a]
+            at = pc.index_in(pa.array(cells_of(data[offsets[a] : offsets[b]], own)), value_set=cell).to_numpy()
+            whole.append(np.add.reduceat(price[at], own[:-1] + np.arange(b - a)))
         return pa.table({
             "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": pa.array(number, pa.int64()), "n_known": pa.array(seen, pa.int64()),
             "train_tokens": pa.array(np.full(n, total["n"]), pa.int64()), "base_score": pa.array(base), "score": pa.array(np.concatenate(whole) if whole else np.zeros(0)),
         })
 
-    back = words.select(F.explode("blocks").alias("block"), "word", "c")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    back = words.select(F.explode("blocks").alias("block"), "word", "c", none("long", "cell"), none("double", "price"))
+    prices = cells.join(cell_prices(cells), "cell").select(F.explode("blocks").alias("block"), none("string", "word"), none("long", "c"), "cell", "price")
+    back = back.unionAll(prices)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return keyed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
 
