@@ -50,7 +50,7 @@ def seeds(h: np.ndarray, first: np.ndarray, short: list[int]):
     spans = [SPAN] * len(MASKS) + short
     for number, (kept, span) in enumerate(zip(shapes, spans, strict=True)):
         at = np.flatnonzero(room >= span)
-        s = np.full(len(at), np.uint64(span * 64 + number % len(MASKS)), np.uint64)
+        s = np.full(len(at), np.uint64(span * 64 + (number if number < len(MASKS) else 0)), np.uint64)
         for k in kept:
             s = s * K.BASE + h[at + k]
         yield at, K.mix(s)

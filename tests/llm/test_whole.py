@@ -1,11 +1,12 @@
 """Places where an operator once did less than the whole job."""
 
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
 import brute
-from sablefin.llm import ppm
+from sablefin.llm import decontaminate, ppm
 
 
 def ppm_scores(rows, order=ppm.ORDER):
@@ -43,3 +44,16 @@ def test_lm_whole_contexts(spark):
     got = {r["doc_id"]: r["score"] for r in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = ppm_scores(rows)
     assert set(got) == set(want) and all(got[d] == pytest.approx(w, rel=1e-9, abs=1e-9) for d, w in want.items())
+
+
+def pairs(spark, docs, items):
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, items).select("doc_id", "item_id").collect()}
+
+
+def test_short_items_in_slices(spark):
+    """Exact copies of short items are found however the benchmark is split."""
+    texts = [" ".join(f"s{n}w{i}" for i in range(n)) for n in range(1, 13)]
+    docs = [(n, f"before all {t} after all") for n, t in enumerate(texts)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartitionByRange(12, "item_id")
+    assert pairs(spark, docs, items) == {(n, n) for n in range(12)}
