@@ -5,8 +5,9 @@ WEIGHT of SPAN neighbouring words and ignores the rest, so a substitution under
 leaves the seed hash as it is. Seed hashes of the benchmark fill a bit table (size by their number,
 up to 2**27 bits) that each task holds against all windows of its documents; what passes is joined
 with the benchmark's hashes. Hits are reduced to document, item and diagonal, and the texts around
-are compared there: the best stretch (match +1, other -2) must have min_overlap words, or all words
-of a shorter item, and match in min_percent of them. Items shorter than SPAN are matched as a whole.
+are compared there: the best stretch (match +1, other -2), or else all words side by side on the diagonal, must
+be min_overlap words, or all words of a shorter item, and match in min_percent of them. Items of
+four to 18 words have seeds for every choice of a quarter of their words being replaced.
 
 Defined cases: null texts have no words; an item without words matches nothing; rows with a null id
 take no part; repeated rows give one result for each (doc_id, item_id).
@@ -24,6 +25,11 @@ from sablefin.llm.shared import materialise, table
 
 MASKS = ("110110011101", "101011110011", "111010100111", "110011101011")
 SPAN = len(MASKS[0])
+#: Masks with the least and most words of the items they are for; a seed's tag is its place here, so both sides have the same.
+SHAPES = (
+    ("1", 1, 1), ("11", 2, 2), ("111", 3, 3), ("11", 4, 5), ("111", 6, 8), ("1101", 8, 8), ("1011", 8, 8), ("11001", 8, 8), ("10011", 8, 8),
+    ("10111", 9, None), ("111001", 9, None), *((m, SPAN, None) for m in MASKS),
+)
 MIN_OVERLAP, MIN_PERCENT = 13, 75
 BUCKET = 32768
 
@@ -43,17 +49,16 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return K.word_hashes(clean, starts, ends), first
 
 
-def seeds(h: np.ndarray, first: np.ndarray, short: list[int]):
-    """(positions, hashes) for each mask, and for each short length taken as a whole."""
+def seeds(h: np.ndarray, first: np.ndarray, shapes: list[int]):
+    """(number, positions, hashes) for each of these SHAPES."""
     room = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
-    shapes = [np.flatnonzero([c == "1" for c in m]) for m in MASKS] + [np.arange(n) for n in short]
-    spans = [SPAN] * len(MASKS) + short
-    for number, (kept, span) in enumerate(zip(shapes, spans, strict=True)):
-        at = np.flatnonzero(room >= span)
-        s = np.full(len(at), np.uint64(span * 64 + (number if number < len(MASKS) else 0)), np.uint64)
-        for k in kept:
+    for number in shapes:
+        mask = SHAPES[number][0]
+        at = np.flatnonzero(room >= len(mask))
+        s = np.full(len(at), np.uint64(len(mask) * 64 + number), np.uint64)
+        for k in np.flatnonzero([c == "1" for c in mask]):
             s = s * K.BASE + h[at + k]
-        yield at, K.mix(s)
+        yield number, at, K.mix(s)
 
 
 def pieces(column: pa.Array):
@@ -63,7 +68,7 @@ def pieces(column: pa.Array):
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """item_id, position, hash, and the item's length where it is below SPAN (else 0)."""
+    """item_id, position, hash, and the number of the shape."""
 
     def run(batches):
         for batch in batches:
@@ -72,14 +77,14 @@ def item_seeds(items: DataFrame) -> DataFrame:
                 size = np.diff(first)
                 row = np.repeat(np.arange(a, b), size)
                 start = np.repeat(first[:-1], size)
-                lengths = sorted({int(n) for n in size if 0 < n < SPAN})
-                for number, (at, s) in enumerate(seeds(h, first, lengths)):
-                    n = lengths[number - len(MASKS)] if number >= len(MASKS) else 0
-                    keep = np.repeat(size, size)[at] == n if n else np.ones(len(at), bool)
+                for number, at, s in seeds(h, first, list(range(len(SHAPES)))):
+                    least, most = SHAPES[number][1:]
+                    words = size[row[at] - a]
+                    keep = (words >= least) & (words <= (most or words))
                     at, s = at[keep], s[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[at]].astype(np.int64)), pa.array(at - start[at]), pa.array(s.view(np.int64)), pa.array(np.full(len(at), n))], ["item_id", "ipos", "hash", "short"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[at]].astype(np.int64)), pa.array(at - start[at]), pa.array(s.view(np.int64)), pa.array(np.full(len(at), number))], ["item_id", "ipos", "hash", "shape"])
 
-    return items.mapInArrow(run, "item_id long, ipos long, hash long, short long")
+    return items.mapInArrow(run, "item_id long, ipos long, hash long, shape long")
 
 
 def bit_table(found: DataFrame) -> tuple[np.ndarray, int]:
@@ -93,7 +98,7 @@ def bit_table(found: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def hits(docs: DataFrame, table_bits: np.ndarray, bits: int, short: list[int]) -> DataFrame:
+def hits(docs: DataFrame, table_bits: np.ndarray, bits: int, shapes: list[int]) -> DataFrame:
     """doc_id, position and hash of windows that may be seeds of an item."""
     held = docs.sparkSession.sparkContext.broadcast(table_bits)
 
@@ -103,7 +108,7 @@ def hits(docs: DataFrame, table_bits: np.ndarray, bits: int, short: list[int]) -
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b, h, first in pieces(batch.column("text")):
                 size = np.diff(first)
-                for at, s in seeds(h, first, short):
+                for _, at, s in seeds(h, first, shapes):
                     p = s >> np.uint64(64 - bits)
                     found = np.flatnonzero((table_[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
                     if len(found):
@@ -127,8 +132,8 @@ def overlaps(docs: DataFrame, items: DataFrame, min_overlap: int = MIN_OVERLAP,
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     known = materialise(item_seeds(items), "seeds")
-    short = sorted(r["short"] for r in known.filter("short > 0").select("short").distinct().collect())  # below SPAN values
-    found = hits(docs, *bit_table(known), short)
+    shapes = sorted(r["shape"] for r in known.select("shape").distinct().collect())  # at most len(SHAPES) values
+    found = hits(docs, *bit_table(known), shapes)
     diagonal = (F.col("pos") - F.col("ipos")).alias("diagonal")
     places = materialise(found.join(known.select("item_id", "ipos", "hash"), "hash").select("doc_id", "item_id", diagonal).distinct(), "diagonals")
     ids = places.select("doc_id").distinct()
@@ -153,10 +158,11 @@ def overlaps(docs: DataFrame, items: DataFrame, min_overlap: int = MIN_OVERLAP,
                 if hi <= lo:
                     continue
                 same = x[lo + shift : hi + shift] == y[lo:hi]
-                a, b = best_stretch(same)
-                n = int(same[a:b].sum())
-                if b - a >= min(min_overlap, len(y)) and 100 * n >= min_percent * (b - a):
-                    out.append((doc, item, lo + shift + a, lo + a, b - a, n))
+                for a, b in (best_stretch(same), (0, hi - lo)):
+                    n = int(same[a:b].sum())
+                    if b - a >= min(min_overlap, len(y)) and 100 * n >= min_percent * (b - a):
+                        out.append((doc, item, lo + shift + a, lo + a, b - a, n))
+                        break
             names = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], names)
 

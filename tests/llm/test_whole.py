@@ -57,3 +57,17 @@ def test_short_items_in_slices(spark):
     docs = [(n, f"before all {t} after all") for n, t in enumerate(texts)]
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartitionByRange(12, "item_id")
     assert pairs(spark, docs, items) == {(n, n) for n in range(12)}
+
+
+def test_altered_short_items(spark):
+    """A quarter of the words of an item may be replaced, whichever they are."""
+    items, docs, want = [], [], set()
+    for n in range(4, 17):
+        words = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        for m in range(n // 4 + 1):
+            for gone in combinations(range(n), m):
+                want.add((len(docs), n))
+                docs.append((len(docs), " ".join(["some", "words", *(f"x{i}" if i in gone else w for i, w in enumerate(words)), "end"])))
+        docs += [(len(docs), " ".join(f"x{i}" if i <= n // 4 else w for i, w in enumerate(words)))]
+    assert pairs(spark, docs, spark.createDataFrame(items, "item_id long, text string")) == want
