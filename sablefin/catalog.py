@@ -699,7 +699,7 @@ def vec_quantize8(spark, sf):
 def ivf_probe(spark, sf):
     rows = vectors(spark, sf)
     index = knn.ivf(rows, rows.count(), clusters=16)
-    return rounded(index.probe(vector_of(spark, sf, 7), 10, probes=4), "distance", "score")
+    return rounded(index.probe(vector_of(spark, sf, 7), 10, probes=12), "distance", "score")
 
 
 # Hybrid
