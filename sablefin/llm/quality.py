@@ -1,7 +1,7 @@
 """Quality rules with DataFrame functions only.
 
 Base rules count what is plainly wrong with a text. The verdict is a log-likelihood ratio: words and
-word pairs are hashed into BUCKETS features, one multinomial is counted over trusted documents and
+word pairs are hashed into BUCKETS features, one multinomial is counted over trusted documents (good and not toxic) and
 one over the whole corpus, and a document's mean log ratio a feature must reach THRESHOLD. The
 trusted sample (at most TRUSTED labelled ids, by hash order) is the only sample; the corpus counts
 and the scores cover every word of every document. Bucket tables have a fixed size.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sablefin.llm.native import let, literal_array
 from sablefin.llm.shared import SPACE, table
 
-BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 20_000, -0.1
+BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 20_000, -0.05
 WINDOW = 5
 
 
@@ -70,7 +70,8 @@ def repeat_words(h: Column) -> Column:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[float]:
     """log P(bucket | trusted) - log P(bucket | corpus), add-one smoothed."""
-    ids = labels.filter("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted)
+    verdict = labels.groupBy(F.col("doc_id").alias("trusted_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    ids = verdict.filter("good = 1 and coalesce(toxic, 0) = 0").select("trusted_id").orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted)
     rows = docs.select("doc_id", hashed(words_of(F.coalesce(F.col("text"), F.lit("")))).alias("h"))
     marked = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")
     counts = (

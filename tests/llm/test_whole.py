@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 import brute
-from sablefin.llm import decontaminate, ppm
+from sablefin.llm import decontaminate, ppm, quality
 
 
 def ppm_scores(rows, order=ppm.ORDER):
@@ -71,3 +71,9 @@ def test_altered_short_items(spark):
                 docs.append((len(docs), " ".join(["some", "words", *(f"x{i}" if i in gone else w for i, w in enumerate(words)), "end"])))
         docs += [(len(docs), " ".join(f"x{i}" if i <= n // 4 else w for i, w in enumerate(words)))]
     assert pairs(spark, docs, spark.createDataFrame(items, "item_id long, text string")) == want
+
+
+def test_toxic_is_not_trusted(spark):
+    docs = spark.createDataFrame([(1, "good plain words"), (2, "venom and spite"), (3, "more plain words"), (4, "spite again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 1, 0), (4, None, 1)], "doc_id long, quality int, toxic int")
+    assert quality.log_ratios(docs, labels) == quality.log_ratios(docs, labels.filter("doc_id in (1, 3)"))
