@@ -645,7 +645,7 @@ def multi(spark, sf, fields: list[str], asked: list[tuple[str, int, float]], mod
     if "g" in fields:
         rows = rows.unionByName(base.select("doc_id", F.lit("g").alias("field"), F.reverse("vec").alias("vec"), F.lit(0.5).alias("weight")))
     known = {f: knn.FieldConfig(64) for f in fields}
-    request = knn.Request(tuple(knn.QueryVector(tuple(vector_of(spark, sf, i)), (f,), w) for f, i, w in asked), k=1000, mode=mode, overfetch=100)
+    request = knn.Request(tuple(knn.QueryVector(tuple(vector_of(spark, sf, i)), (f,), w) for f, i, w in asked), k=1000, mode=mode)
     return knn.search(rows.withColumn("metadata", F.create_map().cast("map<string,string>")), None, known, request)
 
 

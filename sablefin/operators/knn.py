@@ -65,7 +65,7 @@ class Request:
     queries: tuple[QueryVector, ...]
     k: int = 10
     mode: str = "weighted_sum"
-    overfetch: float = 1.0
+    overfetch: float | None = None
     doc_filter: Mapping[str, str] = field(default_factory=dict)
     field_filter: Mapping[str, str] = field(default_factory=dict)
     min_score: float = 0.0
@@ -86,14 +86,15 @@ def selected(wanted: tuple[str, ...] | None, known: Mapping[str, FieldConfig], d
 def search(vectors: DataFrame, meta: DataFrame | None, fields: Mapping[str, FieldConfig], request: Request, default_fields: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, score, fields) over vectors (doc_id, field, vec, weight, metadata) and meta (doc_id, metadata).
 
-    Filters come first. Each field's best k * overfetch hits are kept (all query vectors of the field
-    add up), then merged by document: weighted_sum adds, max_sim takes the best.
+    Filters come first. All query vectors of a field add up, then fields are merged by document:
+    weighted_sum adds, max_sim takes the best. A request with overfetch keeps only each field's best
+    k * overfetch hits before that, so a sum may lack the share of a field.
     """
     if request.mode not in ("weighted_sum", "max_sim"):
         raise ValueError(f"mode {request.mode} is not supported")
     if not request.queries:
         raise ValueError("a request needs a query vector")
-    if request.overfetch < 1:
+    if request.overfetch is not None and request.overfetch < 1:
         raise ValueError("overfetch must be 1 or more")
     rows = vectors.filter(has_all("metadata", request.field_filter)) if request.field_filter else vectors
     if request.doc_filter:
@@ -110,7 +111,9 @@ def search(vectors: DataFrame, meta: DataFrame | None, fields: Mapping[str, Fiel
         near = F.array_min(F.array(*[V.distance(F.col("vec"), V.lit_vector(q.vector), fields[f].metric) for q in own]))
         score = sum(each, F.lit(0.0)) * F.col("weight") * fields[f].base_weight
         part = rows.filter(F.col("field") == f).select("doc_id", F.lit(f).alias("field"), near.alias("distance"), score.alias("score"))
-        parts.append(part.orderBy(F.desc("score"), "doc_id").limit(max(1, math.ceil(request.k * request.overfetch))))
+        if request.overfetch is not None:
+            part = part.orderBy(F.desc("score"), "doc_id").limit(max(1, math.ceil(request.k * request.overfetch)))
+        parts.append(part)
     merge = F.sum("score") if request.mode == "weighted_sum" else F.max("score")
     hits = reduce(DataFrame.unionAll, parts).groupBy("doc_id").agg(merge.alias("score"), F.sort_array(F.collect_list(F.struct("field", "score", "distance"))).alias("fields"))
     if request.min_score > 0:

@@ -24,3 +24,12 @@ def test_ivf_recall(spark, sf):
         recall.append(len(near(index.probe(r["vec"], 10, probes)) & near(knn.knn(rows, r["vec"], 10))) / 10)
     print(sf, probes, np.mean(recall))
     assert np.mean(recall) >= 0.9
+
+
+def test_sum_is_whole(spark):
+    """A document outside one field's best k keeps that field's share."""
+    data = [(1, "f", [1.0, 0.0]), (1, "g", [0.0, 1.0]), (2, "f", [0.8, 0.6]), (2, "g", [0.8, 0.6]), (3, "f", [0.0, 1.0]), (3, "g", [1.0, 0.0])]
+    rows = spark.createDataFrame(data, "doc_id long, field string, vec array<double>").withColumns({"weight": F.lit(1.0), "metadata": F.create_map().cast("map<string,string>")})
+    fields = {f: knn.FieldConfig(2) for f in "fg"}
+    got = knn.search(rows, None, fields, knn.Request((knn.QueryVector((1.0, 0.0)),), k=1)).collect()
+    assert [(r["doc_id"], round(r["score"], 6)) for r in got] == [(2, 1.6)]
