@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 import brute
-from sablefin.llm import decontaminate, ppm, quality
+from sablefin.llm import decontaminate, lines, ppm, quality
 
 
 def ppm_scores(rows, order=ppm.ORDER):
@@ -77,3 +77,12 @@ def test_toxic_is_not_trusted(spark):
     docs = spark.createDataFrame([(1, "good plain words"), (2, "venom and spite"), (3, "more plain words"), (4, "spite again")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 1, 0), (4, None, 1)], "doc_id long, quality int, toxic int")
     assert quality.log_ratios(docs, labels) == quality.log_ratios(docs, labels.filter("doc_id in (1, 3)"))
+
+
+def test_short_lines_on_request(spark):
+    """A caller who asks for lines below five words gets all of them."""
+    rows = [(i, t) for i, t in enumerate(["All rights reserved.\nok\na b c d", "ok\n\nall RIGHTS reserved.", "d c b a\na b c d e\n}", "}\nok then", None, "e a b c d"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 2, 4, 5):
+        got = {(r["doc_id"], r["line"]) for r in lines.removed_lines(docs, min_words=least).collect()}
+        assert got == brute.removed_lines(rows, least=least)
