@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _POWERS: dict = {}
 
 
@@ -36,6 +38,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: an idle worker must not hold what its last task used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

@@ -8,10 +8,11 @@ and symbol, so the model is a table of cells (context, symbol). It grows with th
 context, and is never gathered: each level is joined with the one a byte shorter, where a row has at
 most 256 partners.
 
-Words for the base are counted in blocks of documents (by hash of the id, about BLOCK_BYTES of text
+Words for the base are counted in blocks of documents (by hash of id and text, about BLOCK_BYTES of text
 each), so a word is shuffled once a block and not once a document, and each block gets back only the
 counts of its own words. Cells go the same way: counted by block, and given back to the blocks that
-have them, with their probability.
+have them, with their probability. A word's blocks are listed LISTED numbers at a time, so no list
+grows with the corpus.
 
 Defined cases: null texts are empty (one end token); a null doc_id is on the training side; without
 training texts N and V are 0 and all symbols are uniform; repeated rows count as often as they occur.
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 
 from sablefin.llm import kernels as K
 from sablefin.llm.language import remainder
-from sablefin.llm.shared import materialise, table
+from sablefin.llm.shared import drop, materialise, table
 
 SYMBOLS, END = 257, 256
-ORDER, SYMBOL_BITS = 5, 9
-BLOCK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+ORDER, SYMBOL_BITS = 4, 9
+BLOCK_BYTES, SLICE_BYTES = 6 << 20, 1 << 19
+LISTED = 4096
 
 
 def cells_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -71,44 +73,52 @@ def word_lists(data: np.ndarray, offsets: np.ndarray) -> pa.LargeListArray:
     return pc.ascii_split_whitespace(text)
 
 
-def coded(column) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Rows and word codes of all words, and the words by code; the empty word is not one."""
-    lists = word_lists(*lowered(column))
+    lists = word_lists(data, offsets)
     words = lists.flatten().dictionary_encode()
     code = words.indices.to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     blank = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()
     keep = code != blank if blank >= 0 else slice(None)
-    return row[keep], code[keep], words.dictionary
+    return row[keep], code[keep], words.dictionary.cast(pa.string())
+
+
+def parts_of(block: pa.Table):
+    """Slices of a block's texts: (first row, row after the last, lowered bytes, offsets)."""
+    data, offsets = lowered(block.column("text").combine_chunks())
+    for a, b in K.slices(offsets, SLICE_BYTES):
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def summed(keys: list, counts: list, kind: pa.DataType) -> pa.Table:
+    both = pa.table({"key": pa.concat_arrays([pa.array([], kind), *keys]), "n": pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))})
+    return both.group_by("key").aggregate([("n", "sum")])
 
 
 def block_counts(block: pa.Table) -> pa.Table:
-    """For one block: each word and each cell with its training count."""
-    column = block.column("text").combine_chunks()
+    """For one block: each word and each cell with its training count; a held-out one is counted nowhere, but asked for."""
     train = ~np.asarray(block.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool)
-    row, code, words = coded(column)
-    n = np.bincount(code[train[row]], minlength=len(words))
-    keep = pc.not_equal(words, "")
-    names = words.filter(keep).cast(pa.string())
-    n = n[np.asarray(keep.to_numpy(zero_copy_only=False), bool)]
-    cells, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    data, offsets = lowered(column)
-    for a, b in K.slices(offsets, SLICE_BYTES):
-        all_ = cells_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        live = np.repeat(train[a:b], np.diff(offsets[a : b + 1]) + 1)
-        for part, weight in ((all_[live], 1), (all_[~live], 0)):  # a held-out cell is counted nowhere, but asked for
+    words, word_n, cells, cell_n = [pa.array([""])], [np.array([train.sum()])], [], []
+    for a, b, data, offsets in parts_of(block):
+        row, code, names = coded(data, offsets)
+        asked = np.bincount(code, minlength=len(names)) > 0
+        words.append(names.filter(pa.array(asked)))
+        word_n.append(np.bincount(code[train[a:b][row]], minlength=len(names))[asked])
+        all_ = cells_of(data, offsets)
+        live = np.repeat(train[a:b], np.diff(offsets) + 1)
+        for part, weight in ((all_[live], 1), (all_[~live], 0)):
             found = pc.value_counts(pa.array(part))
-            cells.append(found.field("values").to_numpy())
-            sums.append(found.field("counts").to_numpy() * weight)
-    cell, at = np.unique(np.concatenate(cells), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(sums), minlength=len(cell)).astype(np.int64)
+            cells.append(found.field("values"))
+            cell_n.append(found.field("counts").to_numpy() * weight)
+    words, cells = summed(words, word_n, pa.string()), summed(cells, cell_n, pa.int64())
     number = block.column("block")[0].as_py() if block.num_rows else 0
-    both = len(names) + 1 + len(cell)
+    K.tidy()
     return pa.table({
-        "block": pa.array(np.full(both, number)),
-        "word": pa.concat_arrays([names, pa.array([""]), pa.nulls(len(cell), pa.string())]),
-        "cell": pa.concat_arrays([pa.nulls(len(names) + 1, pa.int64()), pa.array(cell, pa.int64())]),
-        "n": pa.array(np.concatenate((n, [train.sum()], total)).astype(np.int64)),
+        "block": pa.array(np.full(len(words) + len(cells), number)),
+        "word": pa.concat_arrays([words["key"].combine_chunks(), pa.nulls(len(cells), pa.string())]),
+        "cell": pa.concat_arrays([pa.nulls(len(words), pa.int64()), cells["key"].combine_chunks()]),
+        "n": pa.concat_arrays([words["n_sum"].combine_chunks(), cells["n_sum"].combine_chunks()]),
     })
 
 
@@ -119,6 +129,7 @@ def cell_prices(cells: DataFrame) -> DataFrame:
         shorter = F.col("cell").bitwiseAND(F.lit((1 << (SYMBOL_BITS + 8 * k)) - 1)).alias("cell")
         levels.append(materialise(levels[-1].groupBy(shorter).agg(F.sum("n").alias("n")), "cells"))
     levels.reverse()  # from the empty context down
+    before = None
     # All symbols of a context are in one group, at most SYMBOLS rows.
     context = Window.partitionBy(F.shiftright("cell", SYMBOL_BITS))
     total, kinds = F.sum("n").over(context), F.count_if(F.col("n") > 0).over(context)
@@ -126,6 +137,8 @@ def cell_prices(cells: DataFrame) -> DataFrame:
     known = levels[0].select("cell", "n", total.alias("total"), kinds.alias("kinds")).withColumn("rest", 1.0 / free)  # of symbols not seen in the context: given it escapes
     for k in range(1, ORDER + 1):
         known = materialise(known, "cell-levels")
+        drop(before, levels[k - 1])
+        before = known
         above = known.select(F.col("cell").alias("up"), F.col("n").alias("n_up"), F.col("total").alias("total_up"), F.col("kinds").alias("kinds_up"), F.col("rest").alias("rest_up"))
         shorter = F.col("cell").bitwiseAND(F.lit((1 << (SYMBOL_BITS + 8 * (k - 1))) - 1))
         both = levels[k].withColumn("up", shorter).join(above, "up")
@@ -143,6 +156,12 @@ def cell_prices(cells: DataFrame) -> DataFrame:
     return known.select("cell", F.log10(F.greatest(p, F.lit(1e-300))).alias("price"))
 
 
+def listed(counted: DataFrame, kind: str) -> DataFrame:
+    """Each word or cell with its count in, and the numbers of, its blocks; a row stands for at most LISTED neighbouring block numbers."""
+    rows = counted.filter(F.col(kind).isNotNull()).groupBy(kind, F.floor(F.col("block") / LISTED).alias("part"))
+    return materialise(rows.agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")).drop("part"), f"{kind}-blocks")
+
+
 def score_documents(docs: DataFrame, folds_: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -150,48 +169,44 @@ def score_documents(docs: DataFrame, folds_: int = 7, held: int = 2) -> DataFram
     blocks = 1 + size // BLOCK_BYTES
     keyed = rows.select(
         "doc_id", "text", (remainder(F.col("doc_id"), folds_) == held).alias("held_out"),
-        F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"),
     )
     counted = materialise(keyed.groupBy("block").applyInArrow(block_counts, "block long, word string, cell long, n long"), "block-counts")
-    words = counted.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"), F.collect_list("block").alias("blocks"))
-    words = materialise(words, "word-counts")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    words, cells = listed(counted, "word"), listed(counted, "cell")
+    drop(counted)
+    word_counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    total = word_counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     floor = math.log10(max(1, total["n"] + total["v"] + 1))
-    cells = counted.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
-    cells = materialise(cells, "cell-counts")
+    prices = materialise(cell_prices(cells.groupBy("cell").agg(F.sum("n").alias("n"))), "cell-prices")
 
     def score(block: pa.Table, known: pa.Table) -> pa.Table:
-        priced = known.filter(pc.is_valid(known.column("cell")))
+        priced, counts = known.filter(pc.is_valid(known.column("cell"))), known.filter(pc.is_valid(known.column("word")))
         cell, price = priced.column("cell").combine_chunks(), priced.column("price").to_numpy()
-        known = known.filter(pc.is_valid(known.column("word")))
-        column = block.column("text").combine_chunks()
+        have, count = counts.column("word").combine_chunks().cast(pa.string()), counts.column("c").to_numpy()
         n = block.num_rows
-        row, code, names = coded(column)
-        have = known.column("word").combine_chunks().cast(pa.string())
-        count = known.column("c").to_numpy()
-        at = pc.index_in(names.cast(pa.string()), value_set=have).to_numpy(zero_copy_only=False)
-        at = np.nan_to_num(at.astype(np.float64), nan=-1).astype(np.int64)
-        c = np.where(at >= 0, count[np.maximum(at, 0)], 0) if len(count) else np.zeros(len(names), np.int64)
-        ends = pc.index(have, "").as_py() if len(have) else -1
-        end_count = int(count[ends]) if ends >= 0 else 0
-        number = np.bincount(row, minlength=n) + 1
-        base = np.bincount(row, weights=np.log10(c + 1.0)[code], minlength=n) + math.log10(end_count + 1) - number * floor
-        seen = np.bincount(row, weights=(c > 0)[code], minlength=n).astype(np.int64) + (end_count > 0)
-        data, offsets = lowered(column)
-        whole = []
-        for a, b in K.slices(offsets, SLICE_BYTES):
-            own = offsets[a : b + 1] - offsets[a]
-            at = pc.index_in(pa.array(cells_of(data[offsets[a] : offsets[b]], own)), value_set=cell).to_numpy()
-            whole.append(np.add.reduceat(price[at], own[:-1] + np.arange(b - a)))
+        end = pc.index(have, "").as_py()
+        end_count = int(count[end]) if end >= 0 else 0
+        number, seen = np.ones(n, np.int64), np.full(n, int(end_count > 0))
+        base, whole = np.full(n, math.log10(end_count + 1)), np.zeros(n)
+        for a, b, data, offsets in parts_of(block):
+            row, code, names = coded(data, offsets)
+            if len(code):
+                c = count[pc.index_in(names.take(pa.array(np.unique(code))), value_set=have).to_numpy()]
+                c = np.bincount(np.unique(code), weights=c, minlength=len(names))
+                number[a:b] += np.bincount(row, minlength=b - a)
+                seen[a:b] += np.bincount(row, weights=(c > 0)[code], minlength=b - a).astype(np.int64)
+                base[a:b] += np.bincount(row, weights=np.log10(c + 1.0)[code], minlength=b - a)
+            at = pc.index_in(pa.array(cells_of(data, offsets)), value_set=cell).to_numpy()
+            whole[a:b] = np.add.reduceat(price[at], offsets[:-1] + np.arange(b - a))
+        K.tidy()
         return pa.table({
-            "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": pa.array(number, pa.int64()), "n_known": pa.array(seen, pa.int64()),
-            "train_tokens": pa.array(np.full(n, total["n"]), pa.int64()), "base_score": pa.array(base), "score": pa.array(np.concatenate(whole) if whole else np.zeros(0)),
+            "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": pa.array(number), "n_known": pa.array(seen, pa.int64()),
+            "train_tokens": pa.array(np.full(n, total["n"]), pa.int64()), "base_score": pa.array(base - number * floor), "score": pa.array(whole),
         })
 
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    back = words.select(F.explode("blocks").alias("block"), "word", "c", none("long", "cell"), none("double", "price"))
-    prices = cells.join(cell_prices(cells), "cell").select(F.explode("blocks").alias("block"), none("string", "word"), none("long", "c"), "cell", "price")
-    back = back.unionAll(prices)
+    back = words.join(word_counts, "word").select(F.explode("blocks").alias("block"), "word", "c", none("long", "cell"), none("double", "price"))
+    back = back.unionAll(cells.join(prices, "cell").select(F.explode("blocks").alias("block"), none("string", "word"), none("long", "c"), "cell", "price"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return keyed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
 
