@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sablefin.llm.shared import materialise
+from sablefin.llm.shared import drop, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, label) for each end of the links (a, b); label is the smallest vertex reachable.
+    """(v, label, and an old label) for each end of the links (a, b); label is the smallest vertex reachable.
 
     Each round takes the smallest label among neighbours and then the label of one's label, so long
     chains halve. Every round is written to the shared folder; no groups are gathered.
@@ -19,9 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = ends.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = materialise(step, "labels")
-        up = step.select(F.col("v").alias("p"), F.col("label").alias("up"))
-        step = materialise(step.join(up, F.col("label") == F.col("p"), "left").select("v", "old", F.coalesce("up", "label").alias("label")), "labels")
-        labels = step.select("v", "label")
+        first = materialise(step, "labels")
+        up = first.select(F.col("v").alias("p"), F.col("label").alias("up"))
+        step = materialise(first.join(up, F.col("label") == F.col("p"), "left").select("v", "old", F.coalesce("up", "label").alias("label")), "labels")
+        drop(first, labels)
+        labels = step
         if step.filter("label != old").isEmpty():
+            drop(ends)
             return labels

@@ -8,10 +8,16 @@ bucket keys; at similarity s a pair shares one of BANDS keys but for (1 - s**ROW
 
 Documents with equal sets form one class (by size and a 128-bit digest of the set). First come stars,
 one pair a class: each bucket has a centre (the class with the fullest buckets, which is what the others
-were copied from; in later rounds another by hash), and full sets decide. Only buckets that still hold
-several components go on: their pairs across components whose sketches agree enough are listed once and
-verified, best agreement first, in rounds of growing width until none is left. So no link between
-components is lost, and no group's pairs are all listed while it holds together.
+were copied from; in later rounds another by hash), and full sets decide.
+
+Classes in buckets that still hold several components go on to an exact join of their differences. All
+that are joined by buckets form a region, whose centre is the set of shingles held by more than half of
+it; a class is written as its difference D from that centre. With t = percent/100, n shingles and the
+surplus q = |D| - n*(1-t)/(1+t), two classes are linked if, and only if, 2*|D1 & D2| >= q1 + q2. So a class
+with q1 + q2 <= 0 against the region's smallest q is linked to that one, and all other pairs must share a
+shingle of their differences, within the first of each by rarity (prefix filter; classes of q tell how
+many) and with enough left behind it (positional filter). In a group of near copies of one text the
+differences are small and mostly their own, so no group's pairs are listed or compared.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; one or
 two words are one shingle; a row with a null doc_id takes no part, its component_id is null and it is
@@ -28,12 +34,12 @@ from pyspark.sql.window import Window
 
 from sablefin.llm import kernels as K
 from sablefin.llm.components import components
-from sablefin.llm.shared import materialise, table
+from sablefin.llm.shared import drop, materialise, table
 
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 ROW_BITS = 10
-STARS, WIDTHS = 3, (4, 64, None)
+STARS, SLACK = 3, 0.16
 
 
 def shingle_keys(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +126,7 @@ def sketch_table(docs: DataFrame, words: int) -> DataFrame:
                     [ids.slice(at, n), pa.array(count, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(keys, pa.int64()), lists(part.view(np.int16), pa.int16())],
                     ["doc_id", "n_shingles", "d1", "d2", "keys", "sketch"],
                 )
+        K.tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<short>")
 
@@ -147,24 +154,23 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
                     linked[c:d] = (union > 0) & (100 * inter >= percent * union)
             mask = pa.array(linked)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+        K.tidy()
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi"), "texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+    out = materialise(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long"), "verified")
+    drop(texts)
+    return out
 
 
 def agreement(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v) / F.lit(SIZE)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slack: float = 0.16) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept.
-
-    slack: a pair whose sketches agree in less than percent/100 - slack is not verified (five standard
-    deviations of SIZE coordinates at 0.85).
-    """
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept."""
     rows = materialise(sketch_table(docs, words), "sketches")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class")), "classes")
@@ -174,33 +180,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slack: f
     held = materialise(buckets.join(shared, "key"), "held")
     sketch = rows.select(F.col("doc_id").alias("id"), "sketch").join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     sketch = materialise(sketch, "own-sketches")
-    least = percent / 100 - slack
-    weight = held.groupBy("id").agg(F.sum("size").alias("weight"))
+    weight = materialise(held.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
     rest = materialise(held.join(weight, "id").withColumn("label", F.col("id")), "rest")
-    tested, links = None, None
+    drop(shared)
+    links = None
     for number in range(STARS):
         order = F.struct(-F.col("weight"), "id") if number == 0 else F.struct(F.xxhash64("id", F.lit(number)), "id")
-        more = agreeing(star_pairs(rest, order, percent), sketch, least)
-        more = materialise(more if tested is None else untested(more, tested), "pairs")
-        tested, links = joined(tested, more), joined(links, verified(more, docs, words, percent))
-        links = materialise(links, "verified")
+        # What a sketch leaves out here is not lost: the join of differences looks at all pairs of different components.
+        more = materialise(agreeing(star_pairs(rest, order, percent), sketch, percent / 100 - SLACK), "pairs")
+        found = verified(more, docs, words, percent)
+        links = found if links is None else links.union(found)
         labels = components(links)
+        drop(more, rest)
         rest = mixed_buckets(held.join(weight, "id"), labels)
         if rest.isEmpty():
             break
     else:
-        across = materialise(untested(crossing(rest, sketch, percent, least), tested), "across")
-        for width in WIDTHS:
-            left = named_ends(across, labels).filter("la != lb")
-            if width:
-                best = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
-                left = left.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width)
-            more = materialise(untested(left.select("a", "b"), tested), "pairs")
-            if not more.isEmpty():
-                tested, links = tested.union(more), materialise(links.union(verified(more, docs, words, percent)), "verified")
-                labels = components(links)
+        labels = components(links.union(difference_links(rest, docs, words, percent)))
+    drop(rest, held, sketch, weight)
     named = classes.join(labels, F.col("class") == F.col("v"), "left").select("n_shingles", "d1", "d2", F.coalesce("label", "class").alias("component_id"))
     named = materialise(named, "named")
+    drop(classes, labels)
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
@@ -208,10 +208,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, slack: f
     )
 
 
-def joined(known: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if known is None else known.union(more)
-
-
 def fits(n: Column, m: Column, percent: int) -> Column:
     """Whether sets of these sizes may reach the similarity at all."""
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
@@ -234,29 +230,81 @@ def mixed_buckets(held: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of held, with labels, of the buckets that hold several components."""
     marked = materialise(held.join(labels, F.col("id") == F.col("v"), "left").select("id", "n", "key", "weight", F.coalesce("label", "id").alias("label")), "marked")
     mixed = marked.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-    return materialise(marked.join(mixed, "key", "left_semi"), "rest")
+    rest = materialise(marked.join(mixed, "key", "left_semi"), "rest")
+    drop(marked)
+    return rest
 
 
-def crossing(rest: DataFrame, sketch: DataFrame, percent: int, least: float) -> DataFrame:
-    """(a, b, agree) of all pairs in a bucket whose components differ, sizes fit and sketches agree enough."""
-    full = rest.join(sketch, "id")
-    # Sizes differ by less than a factor 100/percent, so a row meets its own size class and the next.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    x = full.select("key", band.alias("w"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
-    y = full.select("key", F.explode(F.array(band, band - 1, band + 1)).alias("w"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("sketch").alias("sb"))
-    near = (F.col("la") > F.col("lb")) & fits(F.col("na"), F.col("nb"), percent) & (agreement(F.col("sa"), F.col("sb")) >= least)
-    return x.join(y, ["key", "w"]).filter(near).select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("agree")).distinct()
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """Rows of docs (doc_id, text, region, label) with the set of shingle hashes in place of the text."""
 
+    def run(batches):
+        for batch in batches:
+            for at, data, offsets in chunks(batch.column("text")):
+                n = len(offsets) - 1
+                row, h = shingle_keys(data, offsets, words)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
+                part = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "region", "label")), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.astype(np.int64)))], ["id", "region", "label", "set"])
+        K.tidy()
 
-def named_ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs with the components of both ends."""
-    x, y = labels.select(F.col("v").alias("a"), F.col("label").alias("la")), labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+    return docs.mapInArrow(run, "id long, region long, label long, set array<long>")
 
 
-def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    known = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(known, ["a", "b"], "left_anti")
+def difference_links(rest: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components of the rows of rest that any pair of them in one region joins.
+
+    A doc_id that stands for several texts has one set for each. Surpluses are in units of 1/(100 + percent).
+    """
+    one = 100 + percent
+    starts = rest.groupBy("key").agg(F.min("id").alias("b"))
+    regions = components(rest.join(starts, "key").select(F.col("id").alias("a"), "b").distinct())
+    named = regions.select("v", F.col("label").alias("region"))
+    members = materialise(rest.select("id", "label").distinct().join(named, F.col("id") == F.col("v")).select("id", "label", "region"), "members")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, F.col("doc_id") == F.col("id")).select("doc_id", "text", "region", "label")
+    sets = materialise(shingle_sets(some.dropDuplicates(["doc_id", "text"]), words), "sets")
+    size = sets.groupBy("region").agg(F.count("*").alias("members"))
+    common = sets.select("region", F.explode("set").alias("h")).groupBy("region", "h").agg(F.count("*").alias("f"))
+    centre = common.join(size, "region").filter(2 * F.col("f") > F.col("members")).groupBy("region").agg(F.collect_list("h").alias("centre"))
+    centre = materialise(centre, "centres")  # at most twice the mean set of its region
+    apart = F.concat(F.array_except("set", "centre"), F.array_except("centre", "set"))
+    surplus = F.size("apart").cast("long") * one - F.size("set") * (100 - percent)
+    diffs = sets.join(centre, "region", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+    diffs = diffs.withColumn("apart", apart).select("id", F.xxhash64("set").alias("which"), "region", "label", F.size("set").alias("n"), "apart", surplus.alias("q"))
+    diffs = materialise(diffs, "differences")
+    drop(sets, centre, members, regions)
+
+    ends = materialise(diffs.groupBy("region").agg(F.min(F.struct("q", "id", "label")).alias("best"), F.max("q").alias("most")), "region-ends")
+    near = diffs.join(ends, "region").filter((F.col("q") + F.col("best.q") <= 0) & (F.col("label") != F.col("best.label")))
+    links = near.select(F.col("id").alias("a"), F.col("best.id").alias("b"))
+
+    class_ = lambda q: F.when(q <= 0, 0).otherwise(1 + F.floor(F.log2(F.greatest(q / F.lit(one), F.lit(1.0))))).cast("int")
+    each = diffs.select("id", "which", "region", "label", "n", "q", F.explode("apart").alias("h"))
+    twice = each.groupBy("region", "h").agg(F.count("*").alias("f")).filter("f > 1")
+    behind = F.row_number().over(Window.partitionBy("id", "which").orderBy(F.desc("f"), F.desc("h")))
+    held = each.join(twice, ["region", "h"]).withColumn("behind", behind)  # shingles of the difference from this one on, rarest first
+    held = held.join(ends.select("region", F.col("best.q").alias("least"), "most"), "region")
+    room = 2 * one * F.col("behind") - F.col("q")  # the largest surplus of a partner that this shingle may be the first to share with
+    classes = F.sequence(F.when(F.col("least") <= 0, 0).otherwise(1), F.least(class_(room), class_(F.col("most"))))
+    mine = held.filter(room >= F.col("least")).withColumn("mine", class_(F.col("q")))
+    mine = mine.select("*", F.explode(F.when(F.size(classes) > 0, classes)).alias("theirs"))
+    mine = materialise(mine.select("id", "which", "region", "label", "n", "q", "h", "behind", "mine", F.least("mine", "theirs").alias("low"), F.greatest("mine", "theirs").alias("high")), "prefixes")
+    x = mine.select("region", "h", "low", "high", *[F.col(c).alias(f"{c}_a") for c in ("id", "which", "label", "n", "q", "behind", "mine")])
+    y = mine.select("region", "h", "low", "high", *[F.col(c).alias(f"{c}_b") for c in ("id", "which", "label", "n", "q", "behind", "mine")])
+    both = F.col("q_a") + F.col("q_b")
+    test = (
+        (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("mine_a") + F.col("mine_b") == F.col("low") + F.col("high"))
+        & fits(F.col("n_a"), F.col("n_b"), percent) & (both > 0) & (2 * one * F.least("behind_a", "behind_b") >= both)
+    )
+    ids = ["id_a", "which_a", "id_b", "which_b"]
+    pairs = materialise(x.join(y, ["region", "h", "low", "high"]).filter(test).select(*ids).distinct(), "pairs")
+    whole = diffs.select("id", "which", "q", "apart")
+    for side in "ab":
+        pairs = pairs.join(whole.select(*[F.col(c).alias(f"{c}_{side}") for c in whole.columns]), [f"id_{side}", f"which_{side}"])
+    confirmed = pairs.filter(2 * one * F.size(F.array_intersect("apart_a", "apart_b")) >= both)
+    links = materialise(links.union(confirmed.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))), "links")
+    drop(diffs, ends, mine)
+    return links
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
