@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -18,6 +20,7 @@ class Analyzer:
     tokenizer: Callable[[Column], Column]
     filters: tuple = ()
     char_filters: tuple = ()
+    name: str = ""  # for those with Python functions, whose expression does not tell them apart
 
     def __call__(self, text: Column) -> Column:
         for f in self.char_filters:
@@ -44,7 +47,20 @@ NOOP = Analyzer(lambda text: F.array().cast("array<string>"))
 
 
 def japanese() -> Analyzer:
-    return Analyzer(T.cjk_tokenizer, (T.lowercase, T.stop(T.JAPANESE_STOP_WORDS)), (T.normalise_filter("NFKC"), T.iteration_mark_filter()))
+    return Analyzer(T.cjk_tokenizer, (T.lowercase, T.stop(T.JAPANESE_STOP_WORDS)), (T.normalise_filter("NFKC"), T.iteration_mark_filter()), "japanese")
+
+
+def named_analyzers() -> tuple[Analyzer, ...]:
+    return (STANDARD, STANDARD_KEEPING_STOP_WORDS, SIMPLE, KEYWORD, NOOP, japanese())
+
+
+def fingerprint(analyzer: Analyzer) -> str:
+    """An analyzer's name, or a digest of the expression that it compiles to; lambda variables count by place, not by name."""
+    if analyzer.name:
+        return analyzer.name
+    names: dict[str, str] = {}
+    text = re.sub(r"\b[a-z]\w*_\d+\b", lambda m: names.setdefault(m[0], f"v{len(names)}"), str(analyzer(F.col("text"))))
+    return hashlib.sha1(text.encode()).hexdigest()
 
 
 @dataclass(frozen=True)

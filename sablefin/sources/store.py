@@ -1,19 +1,23 @@
-"""Index folders: immutable version directories, and a manifest that names the current one.
+"""Index folders: immutable version directories, and numbered manifests, the newest of which names the current one.
 
-A commit writes a new version and then the manifest, so readers see a whole version or the one before.
+A commit writes a new version and then the next manifest, under a number that only one writer can create. No
+manifest is ever replaced, and one that is not whole is passed over: readers see a whole version or the one before.
 All paths go through Hadoop's file systems, so a store may be on any of them.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablefin.functions.analyzers import PerField
+from sablefin.functions.analyzers import PerField, fingerprint, named_analyzers
 from sablefin.operators.index import TABLES, Index
 
 
@@ -42,15 +46,17 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """By a rename, so the file is never seen half written; the old file goes just before."""
-        temp = self.path(f"{path}.{uuid.uuid4().hex}")
-        stream = self.fs.create(temp, True)
+    def create_new(self, path: str, text: str = "") -> bool:
+        """Write a file that must not be there yet; False if it is."""
+        try:
+            stream = self.fs.create(self.path(path), False)
+        except Py4JJavaError as e:
+            if self.exists(path):
+                return False
+            raise e
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not self.fs.rename(temp, self.path(path)):
-            self.delete(path)
-            self.fs.rename(temp, self.path(path))
+        return True
 
 
 @dataclass
@@ -67,11 +73,21 @@ class Store:
     def prefixed(self, prefix: str) -> Store:
         return Store(self.spark, f"{self.root}/{prefix}")
 
+    def numbers(self) -> list[int]:
+        """Of the manifests, newest first."""
+        found = (re.fullmatch(r"manifest-(\d+)\.json", n) for n in self.files.names(self.root))
+        return sorted((int(m[1]) for m in found if m), reverse=True)
+
     def exists(self) -> bool:
-        return self.files.exists(f"{self.root}/manifest.json")
+        return bool(self.numbers())
 
     def manifest(self) -> dict:
-        return json.loads(self.files.read(f"{self.root}/manifest.json"))
+        for n in self.numbers():
+            try:
+                return json.loads(self.files.read(f"{self.root}/manifest-{n:012d}.json"))
+            except ValueError:  # its writer is not done, or died
+                continue
+        raise FileNotFoundError(f"no index at {self.root}")
 
     def versions(self) -> list[str]:
         return [n for n in self.files.names(self.root) if n.startswith("v-")]
@@ -79,8 +95,8 @@ class Store:
     def delete(self) -> bool:
         return self.files.delete(self.root)
 
-    def stage(self, index: Index, files_a_table: int | None = None) -> str:
-        """Write a version; it is not current before commit()."""
+    def stage(self, index: Index, files_a_table: int | None = None, more: Mapping[str, DataFrame] | None = None) -> str:
+        """Write a version, with more tables beside the index's; it is not current before commit()."""
         name = f"v-{uuid.uuid4().hex}"
         at = f"{self.root}/{name}"
         n = files_a_table or int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -92,10 +108,19 @@ class Store:
         index.docs.write.parquet(f"{at}/docs")
         index.lengths.write.parquet(f"{at}/lengths")
         index.field_stats.coalesce(1).write.parquet(f"{at}/field_stats")
+        for table, df in (more or {}).items():
+            df.write.parquet(f"{at}/{table}")
         return name
 
-    def commit(self, version: str, fields: tuple[str, ...]) -> None:
-        self.files.write(f"{self.root}/manifest.json", json.dumps({"version": version, "fields": list(fields)}))
+    def commit(self, version: str, fields: tuple[str, ...], analyzers: PerField | None = None, **more) -> int:
+        """Make a version current. What the index was analysed with is kept by fingerprint."""
+        marks = {f: fingerprint((analyzers or PerField()).of(f)) for f in fields}
+        text = json.dumps({"version": version, "fields": list(fields), "analyzers": marks, **more})
+        number = max([0, *self.numbers()])
+        while True:
+            number += 1
+            if self.files.create_new(f"{self.root}/manifest-{number:012d}.json", text):
+                return number
 
     def rollback(self, version: str) -> None:
         """Drop a staged version that was not committed."""
@@ -103,19 +128,36 @@ class Store:
             raise ValueError("the version is current")
         self.files.delete(f"{self.root}/{version}")
 
-    def save(self, index: Index) -> str:
-        version = self.stage(index)
-        self.commit(version, index.fields)
+    def save(self, index: Index, more: Mapping[str, DataFrame] | None = None, **said) -> str:
+        version = self.stage(index, more=more)
+        self.commit(version, index.fields, index.analyzers, tables=sorted(more or {}), **said)
         return version
 
     def open(self, analyzers: PerField | None = None) -> Index:
+        """The current version. Its analyzers are found if they are among the library's; others must be given, and fit."""
         found = self.manifest()
-        tables = {t: self.spark.read.parquet(f"{self.root}/{found['version']}/{t}") for t in TABLES}
-        return Index(**tables, fields=tuple(found["fields"]), analyzers=analyzers or PerField())
+        marks = found["analyzers"]
+        if analyzers is None:
+            known = {fingerprint(a): a for a in named_analyzers()}
+            lost = sorted(f for f, m in marks.items() if m not in known)
+            if lost:
+                raise ValueError(f"give the analyzers that this index was built with; fields: {', '.join(lost)}")
+            analyzers = PerField(by_field={f: known[m] for f, m in marks.items()})
+        other = sorted(f for f, m in marks.items() if fingerprint(analyzers.of(f)) != m)
+        if other:
+            raise ValueError(f"this index was built with other analyzers; fields: {', '.join(other)}")
+        tables = {t: self.table(t, found) for t in TABLES}
+        return Index(**tables, fields=tuple(found["fields"]), analyzers=analyzers)
+
+    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{(manifest or self.manifest())['version']}/{name}")
 
     def vacuum(self) -> list[str]:
-        """Delete all versions but the current one."""
-        old = [v for v in self.versions() if v != self.manifest()["version"]]
+        """Delete all versions but the current one, and all manifests before its own."""
+        current = self.manifest()["version"]
+        old = [v for v in self.versions() if v != current]
         for v in old:
             self.files.delete(f"{self.root}/{v}")
+        for n in self.numbers()[1:]:
+            self.files.delete(f"{self.root}/manifest-{n:012d}.json")
         return old

@@ -6,9 +6,11 @@ row of each id counts; deletes are rows too, so nothing is rewritten before comp
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablefin.sources.store import Files
@@ -25,87 +27,162 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def live(log: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The latest row of each id, deleted ones left out. An aggregate, so rows of one id meet after partial maxima."""
+    """The latest row of each id, deleted ones left out. An aggregate, so rows of one id meet after partial maxima.
+
+    Among rows of one id and version the largest by its ordered columns counts.
+    """
+    best = latest(log, key)
+    return best.filter("not deleted").drop("version", "deleted")
+
+
+def latest(log: DataFrame, key: str = "doc_id") -> DataFrame:
     others = [c for c in log.columns if c != key]
-    order = F.struct("version", *[c for c in others if c != "version" and not dict(log.dtypes)[c].startswith("map")])
-    if any(k.startswith("map") for _, k in log.dtypes):
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("version")))
-        return log.withColumn("_n", rank).filter("_n = 1 and not deleted").drop("_n", "version", "deleted")
-    best = log.groupBy(key).agg(F.max(order).alias("x")).filter("not x.deleted")
-    return best.select(key, *[F.col(f"x.{c}").alias(c) for c in others if c not in ("version", "deleted")])
+    ordered = [c for c, kind in log.dtypes if c not in (key, "version") and not re.search(r"\bmap<|variant", kind)]
+    best = log.groupBy(key).agg(F.max_by(F.struct(*others), F.struct("version", *ordered)).alias("x"))
+    return best.select(key, *[F.col(f"x.{c}").alias(c) for c in others])
 
 
 @dataclass
 class DocumentLog:
-    """A folder of segments. add/upsert/delete append; commit numbers them; compact() rewrites the live rows as one."""
+    """A folder of segments. add/upsert/delete append one each; compact() puts one in the place of all.
+
+    A segment's version is claimed by a file that only one writer can create, so no two writers share one
+    and none deletes another's. Its name says what wrote it: a batch of a stream is found by its name and is
+    not written twice, whatever other segments there are.
+    """
 
     spark: SparkSession
     root: str
+    key: str = "doc_id"
 
     @property
     def files(self) -> Files:
         return Files(self.spark, self.root)
 
-    def segments(self) -> list[int]:
-        return sorted(int(n[2:]) for n in self.files.names(self.root) if n.startswith("s-"))
+    def segments(self) -> list[str]:
+        """Names s-<version>-<writer>, oldest first."""
+        return sorted(n for n in self.files.names(self.root) if n.startswith("s-"))
+
+    @staticmethod
+    def version_of(name: str) -> int:
+        return int(name.split("-")[1])
+
+    def claims(self) -> list[int]:
+        return sorted(self.version_of(n) for n in self.files.names(self.root) if n.startswith("c-"))
 
-    def _append(self, rows: DataFrame, version: int | None = None) -> int:
-        """Staged under another name and then renamed: a failed write leaves no segment, a repeated one replaces its own."""
-        version = version if version is not None else max(self.segments(), default=0) + 1
-        temp, final = f"{self.root}/t-{version}", f"{self.root}/s-{version}"
-        rows.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(temp)
+    def claim(self) -> int:
+        """The next version, for this writer alone."""
         files = self.files
-        if files.exists(final):
-            files.delete(final)
-        files.fs.rename(files.path(temp), files.path(final))
+        version = max([0, *self.claims(), *map(self.version_of, self.segments())])
+        while True:
+            version += 1
+            if files.create_new(f"{self.root}/c-{version:012d}"):
+                return version
+
+    def _append(self, rows: DataFrame, writer: str | None = None) -> int:
+        """Staged under another name and then renamed: a failed write leaves no segment."""
+        version = self.claim()
+        self._place(rows.withColumn("version", F.lit(version).cast("long")), f"s-{version:012d}-{writer or uuid.uuid4().hex}")
         return version
 
-    def upsert(self, docs: DataFrame, version: int | None = None) -> int:
-        return self._append(docs.withColumn("deleted", F.lit(False)), version)
+    def _place(self, rows: DataFrame, name: str) -> None:
+        temp, files = f"{self.root}/t-{uuid.uuid4().hex}", self.files
+        rows.write.parquet(temp)
+        if not files.fs.rename(files.path(temp), files.path(f"{self.root}/{name}")):
+            raise OSError(f"segment {name} could not be put in place")
+
+    def upsert(self, docs: DataFrame) -> int:
+        return self._append(docs.withColumn("deleted", F.lit(False)))
 
     add = upsert
 
     def delete(self, ids: DataFrame) -> int:
-        return self._append(ids.select("doc_id").distinct().withColumn("deleted", F.lit(True)))
+        return self._append(ids.select(self.key).distinct().withColumn("deleted", F.lit(True)))
+
+    def has_batch(self, stream: str, number: int) -> bool:
+        mark = f"{stream}-{number}"
+        return any(n == f"b-{mark}" or (n.startswith("s-") and n.split("-", 2)[2] == mark) for n in self.files.names(self.root))
+
+    def upsert_batch(self, docs: DataFrame, stream: str, number: int) -> int | None:
+        """A micro-batch of a stream; one that is already there is left out."""
+        if self.has_batch(stream, number):
+            return None
+        return self._append(docs.withColumn("deleted", F.lit(False)), f"{stream}-{number}")
 
     def log(self) -> DataFrame:
-        paths = [f"{self.root}/s-{n}" for n in self.segments()]
+        paths = [f"{self.root}/{n}" for n in self.segments()]
         if not paths:
             raise ValueError("the log is empty")
         return self.spark.read.option("mergeSchema", "true").parquet(*paths)
 
     def documents(self) -> DataFrame:
-        return live(self.log())
+        return live(self.log(), self.key)
 
     def stats(self) -> DataFrame:
-        """For each segment: rows, and rows that a later segment replaced or deleted."""
-        log = self.log().select("doc_id", "version", "deleted")
-        last = log.groupBy("doc_id").agg(F.max("version").alias("last"))
-        rows = log.join(last, "doc_id")
+        """For each segment: rows, and rows that a later one replaced or deleted."""
+        log = self.log().select(self.key, "version", "deleted", F.regexp_extract("_metadata.file_path", r"/s-(\d+)-", 1).cast("long").alias("segment"))
+        last = log.groupBy(self.key).agg(F.max("version").alias("last"))
+        rows = log.join(last, self.key)
         gone = F.count_if((F.col("version") < F.col("last")) | F.col("deleted"))
-        return rows.groupBy(F.col("version").alias("segment")).agg(F.count("*").alias("doc_count"), gone.alias("deleted_count"))
-
-    def compact(self) -> int:
-        """The live rows as one new segment; the old ones go after it is there."""
-        old = self.segments()
-        version = self.upsert(self.documents())
-        for n in old:
-            self.files.delete(f"{self.root}/s-{n}")
-        return version
+        return rows.groupBy("segment").agg(F.count("*").alias("doc_count"), gone.alias("deleted_count"))
+
+    def segment_table(self) -> DataFrame:
+        """stats() with each segment's size and time of writing: what the plans of segments.py read."""
+        files, rows = self.files, []
+        for n in self.segments():
+            at = files.path(f"{self.root}/{n}")
+            rows.append((self.version_of(n), files.fs.getContentSummary(at).getLength(), files.fs.getFileStatus(at).getModificationTime() / 1000))
+        sizes = self.spark.createDataFrame(rows, "segment long, size_bytes long, created double")
+        return self.stats().join(F.broadcast(sizes), "segment")  # one row a segment
+
+    def compact(self, segments: list[int] | None = None) -> int:
+        """The latest rows of all segments, or of the given ones, as one; the old ones go after it is there.
+
+        Rows keep their versions, so a writer that claimed one before and ends later still counts. Deletes are
+        kept where such a writer, or a segment left out, may still bring an older row.
+        """
+        names = [n for n in self.segments() if segments is None or self.version_of(n) in segments]
+        if not names:
+            raise ValueError("there are no such segments")
+        top = max(map(self.version_of, names))
+        there = {self.version_of(n) for n in self.segments()}
+        older = any(v < top and v not in there for v in self.claims()) or any(self.version_of(n) < top and n not in names for n in self.segments())
+        rows = latest(self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{n}" for n in names]), self.key)
+        self._place(rows if older else rows.filter("not deleted"), f"s-{top:012d}-{uuid.uuid4().hex}")
+        files = self.files
+        for n in names:
+            if "-" in n.split("-", 2)[2]:  # a stream's batch stays known
+                files.create_new(f"{self.root}/b-{n.split('-', 2)[2]}")
+            files.delete(f"{self.root}/{n}")
+        return top
+
+    def merge(self, plan: DataFrame) -> list[int]:
+        """Carry out a plan of segments.py (by_size, by_deletion, by_time, balanced), highest priority first; a segment is merged once."""
+        done: set[int] = set()
+        for row in plan.orderBy(F.desc("priority")).collect():  # one row a merge
+            part = [int(s) for s in row["segments"] if int(s) not in done]
+            if part and (len(part) > 1 or row["strategy"] == "deletion"):
+                self.compact(part)
+                done |= set(part)
+        return sorted(done)
 
     def vacuum(self) -> None:
-        """Drop what failed writes have left."""
-        for n in self.files.names(self.root):
-            if n.startswith("t-"):
-                self.files.delete(f"{self.root}/{n}")
+        """Drop what failed writes have left; no writer may be at work."""
+        files = self.files
+        for n in files.names(self.root):
+            if n.startswith(("t-", "c-")):
+                files.delete(f"{self.root}/{n}")
 
 
 def stream_into(stream: DataFrame, log: DocumentLog, checkpoint: str, trigger: dict | None = None):
-    """A streaming query that appends every micro-batch as a segment. A batch's number decides the segment's, so a replayed batch replaces itself."""
+    """A streaming query that appends every micro-batch as a segment, once: its checkpoint and number name it."""
+    name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def batch(rows: DataFrame, number: int) -> None:
-        keyed = rows.groupBy("doc_id").agg(F.max(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("x")).select("doc_id", "x.*")
-        log.upsert(keyed, version=number + 1)
+        others = [c for c in rows.columns if c != log.key]
+        ordered = [c for c, kind in rows.dtypes if c != log.key and not re.search(r"\bmap<|variant", kind)]
+        one = rows.groupBy(log.key).agg(F.max_by(F.struct(*others), F.struct(*ordered) if ordered else F.lit(0)).alias("x"))
+        log.upsert_batch(one.select(log.key, *[F.col(f"x.{c}").alias(c) for c in others]), name, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -3,12 +3,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sablefin.functions import text as T
+from sablefin.functions.analyzers import SIMPLE, Analyzer, PerField
 from sablefin.operators import spelling
 from sablefin.operators.index import build
 from sablefin.sources import readers
 from sablefin.sources.store import Store
 from sablefin.streaming import segments
-from sablefin.streaming.ingest import DocumentLog, stream_into, windowed_counts
+from sablefin.streaming.ingest import DocumentLog, live, stream_into, windowed_counts
 
 
 def docs(spark, *rows):
@@ -61,6 +63,79 @@ def test_streams(spark, tmp_path):
     assert [r["count"] for r in spark.table("counts").collect()] == [1]
 
 
+def test_stream_into_a_log_with_batches(spark, tmp_path):
+    """A stream's batches neither replace other segments nor are written twice, before and after a compaction."""
+    source, log = f"{tmp_path}/in", DocumentLog(spark, f"{tmp_path}/log")
+    now = lambda: {r["doc_id"]: r["text"] for r in log.documents().collect()}
+    for i in range(3):
+        log.upsert(docs(spark, (i, f"old{i}"), (9, f"nine{i}")))
+    docs(spark, (0, "new0"), (20, "t")).write.parquet(source)
+    run = lambda: stream_into(spark.readStream.schema("doc_id long, text string").parquet(source), log, f"{tmp_path}/ck").awaitTermination(60)
+    run()
+    want = {0: "new0", 1: "old1", 2: "old2", 9: "nine2", 20: "t"}
+    assert now() == want and len(log.segments()) == 4
+    log.compact()
+    docs(spark, (9, "later"), (21, "u")).write.mode("append").parquet(source)
+    run()
+    assert now() == want | {9: "later", 21: "u"} and len(log.segments()) == 2
+    batch = log.segments()[1].split("-", 2)[2].rsplit("-", 1)
+    log.upsert(docs(spark, (9, "last")))
+    assert log.upsert_batch(docs(spark, (9, "again")), batch[0], int(batch[1])) is None and now()[9] == "last"
+    log.compact()
+    assert log.upsert_batch(docs(spark, (9, "again")), batch[0], int(batch[1])) is None and now()[9] == "last"
+
+
+def test_late_writer(spark, tmp_path):
+    """A writer that claims its version before a compaction and ends after it still counts, and its own deletes stand."""
+    log = DocumentLog(spark, f"{tmp_path}/log")
+    log.upsert(docs(spark, (1, "a"), (2, "b")))
+    version = log.claim()
+    log.delete(docs(spark, (2, None)))
+    log.compact()
+    late = docs(spark, (1, "late"), (2, "late")).selectExpr("*", "false as deleted", f"cast({version} as long) as version")
+    log._place(late, f"s-{version:012d}-late")
+    assert {r["doc_id"]: r["text"] for r in log.documents().collect()} == {1: "late"}
+    log.vacuum()
+    assert log.claim() > 3
+
+
+def test_merge_of_segments(spark, tmp_path):
+    log = DocumentLog(spark, f"{tmp_path}/log")
+    for i in range(6):
+        log.upsert(docs(spark, (i, f"x{i}"), (100, f"y{i}")))
+    log.delete(docs(spark, (0, None)))
+    want = {i: f"x{i}" for i in range(1, 6)} | {100: "y5"}
+    assert log.merge(segments.by_size(log.segment_table())) == [1, 2, 3, 4, 5, 6, 7]
+    assert {r["doc_id"]: r["text"] for r in log.documents().collect()} == want and len(log.segments()) < 4
+
+
+def test_nested_maps(spark):
+    rows = spark.sql("select 1L as doc_id, 1L as version, false as deleted, named_struct('m', map('a', 1)) as x union all select 1L, 2L, false, named_struct('m', map('a', 2))")
+    assert [r["x"]["m"] for r in live(rows).collect()] == [{"a": 2}]
+
+
+def test_analyzers_are_kept(spark, tmp_path):
+    rows = docs(spark, (1, "The Cat"))
+    Store(spark, f"{tmp_path}/a").save(build(rows, {"text": SIMPLE}))
+    assert Store(spark, f"{tmp_path}/a").open().analyzers.of("text") == SIMPLE
+    with pytest.raises(ValueError):
+        Store(spark, f"{tmp_path}/a").open(PerField())
+    own = Analyzer(T.ngram_tokenizer(2, 3))
+    Store(spark, f"{tmp_path}/b").save(build(rows, {"text": own}))
+    with pytest.raises(ValueError):
+        Store(spark, f"{tmp_path}/b").open()
+    assert Store(spark, f"{tmp_path}/b").open(PerField(by_field={"text": Analyzer(T.ngram_tokenizer(2, 3))})).term_stats.count() > 0
+
+
+def test_broken_manifest(spark, tmp_path):
+    """A commit that died half-way leaves the index as it was."""
+    store = Store(spark, f"{tmp_path}/s")
+    first = store.save(build(docs(spark, (1, "a cat")), ["text"]))
+    store.files.create_new(f"{tmp_path}/s/manifest-{2:012d}.json", '{"version": "v-')
+    assert store.manifest()["version"] == first
+    assert store.save(build(docs(spark, (2, "dog")), ["text"])) == store.manifest()["version"] != first and store.numbers() == [3, 2, 1]
+
+
 def test_segments(spark):
     mb = 1 << 20
     rows = [(f"s{i}", s, 100, d, float(i)) for i, (s, d) in enumerate([(mb // 2, 0), (mb // 4, 0), (mb // 8, 40), (50 * mb, 20), (90 * mb, 0)])]
