@@ -5,6 +5,7 @@ postings    field, term, doc_id, tf, len, positions   (len: the document's field
 lengths     field, doc_id, len                         (a row for every document; null without the field)
 term_stats  field, term, df, ctf
 field_stats field, n, doc_count, avg_len, min_len, max_len   (one row a field)
+norms       field, doc_id, n_terms, s1, s2             (distinct terms, sums of tf and of tf squared)
 
 An index that was just built is a set of lazy plans: a filter on terms stops at the tokens, before
 the shuffle. A saved index has postings range-partitioned and sorted by field and term, so the same
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sablefin.functions.analyzers import STANDARD, Analyzer, PerField
 
-TABLES = ("docs", "postings", "lengths", "term_stats", "field_stats")
+TABLES = ("docs", "postings", "lengths", "term_stats", "field_stats", "norms")
 
 
 def as_term(column: Column, kind: str) -> Column:
@@ -48,6 +49,7 @@ class Index:
     lengths: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    norms: DataFrame
     fields: tuple[str, ...]
     analyzers: PerField = field(default_factory=PerField)
 
@@ -68,6 +70,11 @@ class Index:
     def term_vector(self, doc_id: int, name: str) -> DataFrame:
         return self.postings.filter((F.col("field") == name) & (F.col("doc_id") == doc_id)).select("term", "tf", "positions")
 
+    def terms_of(self, doc_ids, name: str) -> DataFrame:
+        """(term, tf) of the given documents together, analysed from the stored rows: postings are not kept by document."""
+        rows = self.docs.filter(F.col("doc_id").isin(list(doc_ids)))
+        return rows.select(F.explode(field_tokens(rows, name, self.analyzers)).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+
     def summary(self) -> DataFrame:
         """Counts of documents, terms and postings, one row."""
         return self.docs.agg(F.count("*").alias("n_docs")).crossJoin(self.term_stats.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.sum("ctf").alias("n_tokens")))
@@ -89,4 +96,10 @@ def build(docs: DataFrame, fields: Mapping[str, Analyzer] | list[str], key: str
     postings = tokens.groupBy("field", "term", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     term_stats = tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf")).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
     field_stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.count("len").alias("doc_count"), F.avg("len").alias("avg_len"), F.min("len").alias("min_len"), F.max("len").alias("max_len"))
-    return Index(docs, postings.select("field", "term", "doc_id", "tf", "len", "positions"), lengths, term_stats, field_stats, tuple(by_field), analyzers)
+    counted = postings.select("field", "term", "doc_id", "tf", "len", "positions")
+    return Index(docs, counted, lengths, term_stats, field_stats, norms_of(counted), tuple(by_field), analyzers)
+
+
+def norms_of(postings: DataFrame) -> DataFrame:
+    w = F.col("tf").cast("double")
+    return postings.groupBy("field", "doc_id").agg(F.count("*").alias("n_terms"), F.sum(w).alias("s1"), F.sum(w * w).alias("s2"))

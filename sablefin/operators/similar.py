@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from sablefin.functions import scores
 from sablefin.operators.index import Index
 
+MOST_LISTED = 2000
 ALGORITHMS = ("cosine", "jaccard", "euclidean", "manhattan", "term_frequency", "bm25")
 
 
 def similar(index: Index, doc_ids: list[int], field: str, algorithm: str = "cosine", min_similarity: float = 0.1, k: int = 20, normalise: bool = True) -> DataFrame:
     """(doc_id, score) of the documents most like the given ones (their summed counts).
 
-    Only postings of the given documents' terms are joined; what other terms add to a norm comes from
-    one sum a document.
+    Only postings of the given documents' terms are read; what other terms add to a norm was summed when
+    the index was built. Documents of more than MOST_LISTED distinct terms take a join in place of the list.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"no such algorithm: {algorithm}")
-    rows = index.postings.filter(F.col("field") == field).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
-    query = rows.filter(F.col("doc_id").isin(doc_ids)).groupBy("term").agg(F.sum("w").alias("q"))  # terms of the given documents
-    others = rows.filter(~F.col("doc_id").isin(doc_ids))
-    sizes = others.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("w").alias("s1"), F.sum(F.col("w") * F.col("w")).alias("s2"))
+    query = index.terms_of(doc_ids, field).select("term", F.col("tf").cast("double").alias("q"))
+    few = query.limit(MOST_LISTED + 1).collect()
+    others = index.postings.filter((F.col("field") == field) & ~F.col("doc_id").isin(doc_ids)).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
+    if len(few) <= MOST_LISTED:  # then the terms go to the scan, which reads only their row groups
+        others = others.filter(F.col("term").isin([r["term"] for r in few]))
+        query = index.spark.createDataFrame([tuple(r) for r in few], "term string, q double")
+    sizes = index.norms.filter(F.col("field") == field).select("doc_id", F.col("n_terms").alias("n"), "s1", "s2")
     own = query.agg(F.count("*").alias("qn"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("q1"), F.coalesce(F.sum(F.col("q") * F.col("q")), F.lit(0.0)).alias("q2"))
     joined = others.join(query, "term").crossJoin(F.broadcast(own)).join(sizes, "doc_id")
     l2 = algorithm in ("euclidean", "manhattan", "term_frequency", "bm25") and normalise

@@ -398,11 +398,15 @@ def _(query: A.MoreLikeThis, index: Index) -> DataFrame:
         made = [(f, t) for f in query.fields for t in index.analyzers.of(f).terms(index.spark, query.text)]
         source = index.spark.createDataFrame(made, "field string, term string").groupBy("field", "term").agg(F.count("*").alias("tf"))
     else:
-        source = rows.filter(F.col("doc_id").isin(list(query.doc_ids))).groupBy("field", "term").agg(F.sum("tf").alias("tf"))
+        source = reduce(DataFrame.unionAll, [index.terms_of(query.doc_ids, f).select(F.lit(f).alias("field"), "term", "tf") for f in query.fields])
     known = index.term_stats.join(F.broadcast(source.filter(F.col("tf") >= query.min_tf)), ["field", "term"]).filter(F.col("df") >= query.min_df)  # terms of the given texts only
     known = known.join(F.broadcast(index.field_stats.select("field", "n", F.col("avg_len").alias("avg"))), "field")
     weighed = known.withColumn("weight", F.col("tf") * scores.idf(F.col("n"), F.col("df"))).orderBy(F.desc("weight"), "field", "term").limit(query.max_terms)
-    top = weighed.select("field", "term", "df", "n", "avg", "weight")
+    best = weighed.select("field", "term", "df", "n", "avg").collect()  # max_terms rows; as literals they reach the scan
+    if not best:
+        return empty(index)
+    top = index.spark.createDataFrame([tuple(r) for r in best], "field string, term string, df long, n long, avg double")
+    rows = rows.filter(F.col("term").isin(sorted({r["term"] for r in best})))
     found = rows.filter(~F.col("doc_id").isin(list(query.doc_ids))) if query.doc_ids else rows
     joined = found.join(F.broadcast(top), ["field", "term"])
     score = scores.bm25(F.col("tf"), F.col("len"), F.col("avg"), F.col("n"), F.col("df"), query.boost)

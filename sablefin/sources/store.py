@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablefin.functions.analyzers import PerField, fingerprint, named_analyzers
-from sablefin.operators.index import TABLES, Index
+from sablefin.operators.index import TABLES, Index, norms_of
 
 
 class Files:
@@ -107,6 +107,7 @@ class Store:
         stats.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/term_stats")
         index.docs.write.parquet(f"{at}/docs")
         index.lengths.write.parquet(f"{at}/lengths")
+        norms_of(written).write.parquet(f"{at}/norms")
         index.field_stats.coalesce(1).write.parquet(f"{at}/field_stats")
         for table, df in (more or {}).items():
             df.write.parquet(f"{at}/{table}")

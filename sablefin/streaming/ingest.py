@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,13 @@ def latest(log: DataFrame, key: str = "doc_id") -> DataFrame:
     return best.select(key, *[F.col(f"x.{c}").alias(c) for c in others])
 
 
+@dataclass(frozen=True)
+class Staged:
+    version: int
+    temp: str
+    final: str
+
+
 @dataclass
 class DocumentLog:
     """A folder of segments. add/upsert/delete append one each; compact() puts one in the place of all.
@@ -79,25 +87,40 @@ class DocumentLog:
             if files.create_new(f"{self.root}/c-{version:012d}"):
                 return version
 
-    def _append(self, rows: DataFrame, writer: str | None = None) -> int:
-        """Staged under another name and then renamed: a failed write leaves no segment."""
+    def stage(self, rows: DataFrame, deleted: bool = False, writer: str | None = None) -> Staged:
+        """Write a change that nobody sees before place()."""
         version = self.claim()
-        self._place(rows.withColumn("version", F.lit(version).cast("long")), f"s-{version:012d}-{writer or uuid.uuid4().hex}")
-        return version
+        temp = f"{self.root}/t-{uuid.uuid4().hex}"
+        rows.withColumns({"deleted": F.lit(deleted), "version": F.lit(version).cast("long")}).write.parquet(temp)
+        return Staged(version, temp, f"{self.root}/s-{version:012d}-{writer or uuid.uuid4().hex}")
+
+    def place(self, staged: Staged) -> int:
+        files = self.files
+        if not files.fs.rename(files.path(staged.temp), files.path(staged.final)):
+            raise OSError(f"{staged.final} could not be put in place")
+        return staged.version
+
+    def take_back(self, staged: Staged) -> None:
+        """Drop a staged change, in place or not."""
+        self.files.delete(staged.temp)
+        self.files.delete(staged.final)
+
+    def _append(self, rows: DataFrame, deleted: bool = False, writer: str | None = None) -> int:
+        """A failed write leaves no segment."""
+        return self.place(self.stage(rows, deleted, writer))
 
     def _place(self, rows: DataFrame, name: str) -> None:
-        temp, files = f"{self.root}/t-{uuid.uuid4().hex}", self.files
+        temp = f"{self.root}/t-{uuid.uuid4().hex}"
         rows.write.parquet(temp)
-        if not files.fs.rename(files.path(temp), files.path(f"{self.root}/{name}")):
-            raise OSError(f"segment {name} could not be put in place")
+        self.place(Staged(self.version_of(name), temp, f"{self.root}/{name}"))
 
     def upsert(self, docs: DataFrame) -> int:
-        return self._append(docs.withColumn("deleted", F.lit(False)))
+        return self._append(docs)
 
     add = upsert
 
     def delete(self, ids: DataFrame) -> int:
-        return self._append(ids.select(self.key).distinct().withColumn("deleted", F.lit(True)))
+        return self._append(ids.select(self.key).distinct(), deleted=True)
 
     def has_batch(self, stream: str, number: int) -> bool:
         mark = f"{stream}-{number}"
@@ -107,16 +130,18 @@ class DocumentLog:
         """A micro-batch of a stream; one that is already there is left out."""
         if self.has_batch(stream, number):
             return None
-        return self._append(docs.withColumn("deleted", F.lit(False)), f"{stream}-{number}")
+        return self._append(docs, writer=f"{stream}-{number}")
 
-    def log(self) -> DataFrame:
-        paths = [f"{self.root}/{n}" for n in self.segments()]
+    def log(self, names: list[str] | None = None) -> DataFrame:
+        """All changes, or those of the named segments."""
+        paths = [f"{self.root}/{n}" for n in (self.segments() if names is None else names)]
         if not paths:
             raise ValueError("the log is empty")
         return self.spark.read.option("mergeSchema", "true").parquet(*paths)
 
-    def documents(self) -> DataFrame:
-        return live(self.log(), self.key)
+    def documents(self, names: list[str] | None = None) -> DataFrame:
+        """Live rows now, or as they were when segments() gave these names."""
+        return live(self.log(names), self.key)
 
     def stats(self) -> DataFrame:
         """For each segment: rows, and rows that a later one replaced or deleted."""
@@ -174,6 +199,69 @@ class DocumentLog:
                 files.delete(f"{self.root}/{n}")
 
 
+@dataclass
+class Transaction:
+    """Changes to one or more logs that are seen together or not at all.
+
+    isolation: "read_committed" reads what is there at each read; "repeatable_read" what was there at the
+    start; "serializable" also refuses to commit if another writer has changed a log since.
+    """
+
+    logs: Mapping[str, DocumentLog]
+    isolation: str = "read_committed"
+    staged: list[tuple[str, Staged]] = field(default_factory=list)
+    state: str = "active"
+
+    def __post_init__(self):
+        if self.isolation not in ("read_committed", "repeatable_read", "serializable"):
+            raise ValueError(f"no such isolation: {self.isolation}")
+        self.start = {name: log.segments() for name, log in self.logs.items()}
+
+    def _active(self) -> None:
+        if self.state not in ("active", "prepared"):
+            raise ValueError(f"the transaction is {self.state}")
+
+    def documents(self, name: str) -> DataFrame:
+        return self.logs[name].documents(None if self.isolation == "read_committed" else self.start[name])
+
+    def upsert(self, name: str, rows: DataFrame) -> None:
+        self._stage(name, rows, False)
+
+    def delete(self, name: str, ids: DataFrame) -> None:
+        self._stage(name, ids.select(self.logs[name].key).distinct(), True)
+
+    def _stage(self, name: str, rows: DataFrame, deleted: bool) -> None:
+        self._active()
+        try:
+            self.staged.append((name, self.logs[name].stage(rows, deleted)))
+        except Exception:
+            self.abort()
+            raise
+
+    def prepare(self) -> None:
+        """All changes are written; from here on only a conflict or a lost store stops the commit."""
+        self._active()
+        self.state = "prepared"
+
+    def commit(self) -> list[int]:
+        self._active()
+        if self.isolation == "serializable" and any(self.logs[n].segments() != seen for n, seen in self.start.items()):
+            self.abort()
+            raise RuntimeError("another writer has changed the log")
+        try:
+            done = [self.logs[name].place(change) for name, change in self.staged]
+        except Exception:
+            self.abort()
+            raise
+        self.state = "committed"
+        return done
+
+    def abort(self) -> None:
+        for name, change in self.staged:
+            self.logs[name].take_back(change)
+        self.state = "aborted"
+
+
 def stream_into(stream: DataFrame, log: DocumentLog, checkpoint: str, trigger: dict | None = None):
     """A streaming query that appends every micro-batch as a segment, once: its checkpoint and number name it."""
     name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
