@@ -15,14 +15,13 @@ def components(links: DataFrame) -> DataFrame:
     chains halve. Every round is written to the shared folder; no groups are gathered.
     """
     ends = materialise(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "links")
-    labels = materialise(ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("v"), "label"), "labels")
+    labels = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("v"), "label")
     while True:
         near = ends.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        first = materialise(step, "labels")
-        up = first.select(F.col("v").alias("p"), F.col("label").alias("up"))
-        step = materialise(first.join(up, F.col("label") == F.col("p"), "left").select("v", "old", F.coalesce("up", "label").alias("label")), "labels")
-        drop(first, labels)
+        up = step.select(F.col("v").alias("p"), F.col("label").alias("up"))
+        step = materialise(step.join(up, F.col("label") == F.col("p"), "left").select("v", "old", F.coalesce("up", "label").alias("label")), "labels")
+        drop(labels)
         labels = step
         if step.filter("label != old").isEmpty():
             drop(ends)

@@ -1,11 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are cut into segments of STEPS bytes (A-Z in lower case); both directions run over each
-segment from a zero state, so thousands of segments advance together. Every position gets a softmax
+Texts are cut into segments of SPAN bytes (A-Z in lower case); both directions run over each
+segment from a zero state, so many segments advance together. Every position gets a softmax
 over the languages, and a document's probabilities are the mean over all its positions. Gates use
-softsign forms. Training is backpropagation through time in numpy with Adam, on at most about
-PER_LANGUAGE labelled documents a language (chosen by hash) and WINDOWS short stretches of each; this
-sample is the only one. Prediction reads whole texts.
+softsign forms. Training is backpropagation through time in numpy with Adam over STEPS bytes, on at most
+about PER_LANGUAGE labelled documents a language (chosen by hash) and WINDOWS stretches of each, at places
+chosen by hash over the whole text; this sample is the only one. Prediction reads whole texts.
 
 Defined cases: null texts and texts without a letter are "und" with score 0; without training rows
 everything is; a null doc_id counts as training side; empty tables give no rows.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sablefin.llm import kernels as K
 from sablefin.llm.shared import table
 
-STEPS, HIDDEN, WIDTH = 64, 8, 2048
+STEPS, SPAN, HIDDEN, WIDTH = 64, 512, 8, 2048
 PER_LANGUAGE, WINDOWS, WINDOW_CHARS = 400, 3, 160
 ROUNDS, BATCH, RATE = 250, 192, 0.02
 
@@ -147,17 +147,17 @@ class Network:
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean probabilities (rows x classes) over all positions of each row; zero for empty rows."""
         sizes = np.diff(offsets)
-        count = -(-sizes // STEPS)
+        count = -(-sizes // SPAN)
         row = np.repeat(np.arange(len(sizes)), count)
         number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        start = offsets[row] + number * STEPS
-        length = np.minimum(STEPS, offsets[row + 1] - start)
+        start = offsets[row] + number * SPAN
+        length = np.minimum(SPAN, offsets[row + 1] - start)
         order = np.argsort(-length, kind="stable")
-        data = np.concatenate((data, np.zeros(STEPS, np.uint8)))
+        data = np.concatenate((data, np.zeros(SPAN, np.uint8)))
         out = np.zeros((len(sizes), self.classes))
         for a in range(0, len(order), WIDTH):
             part = order[a : a + WIDTH]
-            total = self.segments(data[start[part][None, :] + np.arange(STEPS)[:, None]], length[part])
+            total = self.segments(data[start[part][None, :] + np.arange(SPAN)[:, None]], length[part])
             for c in range(self.classes):
                 out[:, c] += np.bincount(row[part], weights=total[c], minlength=len(sizes))
         return out / np.maximum(sizes, 1)[:, None]
@@ -172,10 +172,12 @@ def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-PER_LANGUAGE * (1 << 20) // n)))).otherwise(share)
-    some = able.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).limit(2 * PER_LANGUAGE * len(sizes))
+    some = able.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
     at = lambda i: 1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.lit(1), F.length("text") - WINDOW_CHARS)).cast("int")
-    cut = [F.substring(F.col("text"), F.lit(1) if i == 0 else at(i), F.lit(WINDOW_CHARS)) for i in range(WINDOWS)]
-    return sorted((r["lang"], r["x"]) for r in some.select("lang", F.explode(F.array_distinct(F.array(*cut))).alias("x")).collect())
+    cut = [F.substring(F.col("text"), at(i), F.lit(WINDOW_CHARS)) for i in range(WINDOWS)]
+    rows = some.select("lang", F.xxhash64("doc_id").alias("h"), F.array_distinct(F.array(*cut)).alias("x"))
+    rows = rows.orderBy("h", "lang", "x").limit(2 * PER_LANGUAGE * len(sizes))  # twice the share asked for, reached only by many rows of one id
+    return sorted((r["lang"], x) for r in rows.collect() for x in r["x"])
 
 
 def fit(rows: list[tuple[str, str]]) -> tuple[list[str], Network | None]:
@@ -228,13 +230,16 @@ def identify(docs: DataFrame, langs: list[str], net: Network | None) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, langs: list[str], net: Network | None, min_score: float) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language of at least min_score."""
+def accepted(docs: DataFrame, langs: list[str], net: Network | None, min_gain: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with a score of at least this share of the way from chance to 1."""
+    chance = 1 / max(1, len(langs))
+    least = chance + min_gain * (1 - chance)
 
     def run(batches):
         for batch in batches:
             names, score = judge(batch.column("text"), langs, net)
-            yield batch.filter(pa.array((names != "und") & (score >= min_score)))
+            yield batch.filter(pa.array((names != "und") & (score >= least)))
+        K.tidy()
 
     return docs.mapInArrow(run, docs.schema)
 

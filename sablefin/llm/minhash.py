@@ -6,9 +6,9 @@ Every coordinate is filled, and a long set needs only a round or two. Bands of R
 bucket keys; at similarity s a pair shares one of BANDS keys but for (1 - s**ROWS)**BANDS, which is
 4e-7 at 0.85.
 
-Documents with equal sets form one class (by size and a 128-bit digest of the set). First come stars,
+Documents with equal sets form one class (by size and a 128-bit digest of the set). First comes a star,
 one pair a class: each bucket has a centre (the class with the fullest buckets, which is what the others
-were copied from; in later rounds another by hash), and full sets decide.
+were copied from), and full sets decide.
 
 Classes in buckets that still hold several components go on to an exact join of their differences. All
 that are joined by buckets form a region, whose centre is the set of shingles held by more than half of
@@ -34,12 +34,13 @@ from pyspark.sql.window import Window
 
 from sablefin.llm import kernels as K
 from sablefin.llm.components import components
+from sablefin.llm.native import probably_in
 from sablefin.llm.shared import drop, materialise, table
 
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 ROW_BITS = 10
-STARS, SLACK = 3, 0.16
+SLACK = 0.16
 
 
 def shingle_keys(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,11 +158,13 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
         K.tidy()
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi"), "texts")
+    ids = materialise(ids, "text-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(probably_in(ids)(F.col("doc_id")))
+    texts = materialise(texts.join(ids, "doc_id", "left_semi"), "texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     out = materialise(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long"), "verified")
-    drop(texts)
+    drop(texts, ids)
     return out
 
 
@@ -174,28 +177,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = materialise(sketch_table(docs, words), "sketches")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class")), "classes")
-    keyed = full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "n_shingles", "d1", "d2"])
+    keyed = full.drop("sketch").join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "n_shingles", "d1", "d2"])
     buckets = keyed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = materialise(buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     held = materialise(buckets.join(shared, "key"), "held")
-    sketch = rows.select(F.col("doc_id").alias("id"), "sketch").join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    sketch = materialise(sketch, "own-sketches")
     weight = materialise(held.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    sketch = rows.select(F.col("doc_id").alias("id"), "sketch").filter(probably_in(weight.select("id"))(F.col("id"))).join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sketch = materialise(sketch, "own-sketches")
     rest = materialise(held.join(weight, "id").withColumn("label", F.col("id")), "rest")
     drop(shared)
-    links = None
-    for number in range(STARS):
-        order = F.struct(-F.col("weight"), "id") if number == 0 else F.struct(F.xxhash64("id", F.lit(number)), "id")
-        # What a sketch leaves out here is not lost: the join of differences looks at all pairs of different components.
-        more = materialise(agreeing(star_pairs(rest, order, percent), sketch, percent / 100 - SLACK), "pairs")
-        found = verified(more, docs, words, percent)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        drop(more, rest)
-        rest = mixed_buckets(held.join(weight, "id"), labels)
-        if rest.isEmpty():
-            break
-    else:
+    # What a sketch leaves out here is not lost: the join of differences looks at all pairs of different components.
+    more = materialise(agreeing(star_pairs(rest, percent), sketch, percent / 100 - SLACK), "pairs")
+    links = verified(more, docs, words, percent)
+    labels = components(links)
+    drop(more, rest)
+    rest = mixed_buckets(held.join(weight, "id"), labels)
+    if not rest.isEmpty():
+        drop(labels)
         labels = components(links.union(difference_links(rest, docs, words, percent)))
     drop(rest, held, sketch, weight)
     named = classes.join(labels, F.col("class") == F.col("v"), "left").select("n_shingles", "d1", "d2", F.coalesce("label", "class").alias("component_id"))
@@ -213,9 +211,9 @@ def fits(n: Column, m: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
-def star_pairs(rest: DataFrame, order: Column, percent: int) -> DataFrame:
+def star_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """For each class one pair (a, b) at most: with the centre of that of its buckets whose centre is the weightiest."""
-    tops = rest.groupBy("key").agg(F.min_by(F.struct("id", "n", "weight", "label"), order).alias("top"))
+    tops = rest.groupBy("key").agg(F.min_by(F.struct("id", "n", "weight", "label"), F.struct(-F.col("weight"), "id")).alias("top"))
     near = rest.join(tops, "key").filter((F.col("label") != F.col("top.label")) & fits(F.col("n"), F.col("top.n"), percent))
     return near.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("top.weight", -F.col("top.id"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
 
@@ -261,7 +259,7 @@ def difference_links(rest: DataFrame, docs: DataFrame, words: int, percent: int)
     regions = components(rest.join(starts, "key").select(F.col("id").alias("a"), "b").distinct())
     named = regions.select("v", F.col("label").alias("region"))
     members = materialise(rest.select("id", "label").distinct().join(named, F.col("id") == F.col("v")).select("id", "label", "region"), "members")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, F.col("doc_id") == F.col("id")).select("doc_id", "text", "region", "label")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(probably_in(members.select("id"))(F.col("doc_id"))).join(members, F.col("doc_id") == F.col("id")).select("doc_id", "text", "region", "label")
     sets = materialise(shingle_sets(some.dropDuplicates(["doc_id", "text"]), words), "sets")
     size = sets.groupBy("region").agg(F.count("*").alias("members"))
     common = sets.select("region", F.explode("set").alias("h")).groupBy("region", "h").agg(F.count("*").alias("f"))

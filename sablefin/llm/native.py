@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK, OTHER = "\u0001", "\u0002"
@@ -70,3 +70,22 @@ def luhn(digits: Column) -> Column:
 def literal_array(values, kind: str) -> Column:
     """A constant array (folded once by the planner) for lookups by position."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def probably_in(ids: DataFrame, most_bits: int = 1 << 22) -> Callable[[Column], Column]:
+    """A test of long ids that holds for all of a table's (its one column) and few others: one hash into a bit array of bounded size.
+
+    It goes before a join, so that rows that would find no partner are not shuffled.
+    """
+    name = ids.columns[0]
+    rows = ids.count()
+    bits = 1 << 12
+    while bits < min(16 * rows, most_bits):
+        bits *= 2
+    place = lambda x: F.pmod(F.xxhash64(x, F.lit(17)), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col(name)).bitwiseAND(F.lit(63)).cast("int"))
+    words = [0] * (bits // 64)
+    for r in ids.groupBy(F.shiftright(place(F.col(name)), 6).alias("w")).agg(F.bit_or(bit).alias("b")).collect():  # at most bits / 64 rows
+        words[r["w"]] = r["b"]
+    held = literal_array(words, "bigint")
+    return lambda x: F.coalesce(F.get(held, F.shiftright(place(x), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place(x).bitwiseAND(F.lit(63)).cast("int"))) != 0, F.lit(False))

@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablefin.llm.kernels import slices
+from sablefin.llm.kernels import slices, tidy
 from sablefin.llm.shared import table
 
 CAPACITY, CLASSES, END_ID = 4096, 32, 2
-CACHE_WORDS, BATCH_BYTES = 1_000_000, 8 << 20
+CACHE_WORDS, BATCH_BYTES = 150_000, 2 << 20
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 SCHEMA = ", ".join(f"{c} long" for c in COLUMNS)
 
@@ -199,6 +199,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         packer.close()
         if packer.rows:
             yield flush()
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

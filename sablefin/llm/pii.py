@@ -6,7 +6,9 @@ numbers, titled names, failed cards and addresses). Four labelers vote on each c
 or 1: its shape, a gazetteer, the words before it, and its edges. Counts by kind and votes (at most
 kinds * 3**4 rows, whatever the corpus) go to the driver, where expectation-maximisation estimates
 each labeler's reliability and a logistic span classifier is fitted to the posterior labels. The
-classifier then decides every loose candidate in the JVM.
+classifier then decides every candidate outside the base in the JVM. One that fails its kind's own check
+(Luhn, parts, number of digits) is evidence for the model but no finding: it is not personal data of that
+kind, whatever stands about it. Of added spans that overlap the first, then the longest, stays.
 
 Defined cases: null and empty texts have no spans; positions are code points; without candidates
 there is no model and nothing is added; repeated rows give repeated results; columns other than
@@ -186,13 +188,25 @@ def accepted(weight: dict):
     return test
 
 
+def apart(spans: Column) -> Column:
+    """Of spans that overlap, the one that starts first; of those, the longest, then the first by kind."""
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), x["k"].alias("k"), x["kind"].alias("kind"), x["e"].alias("e"))))
+    zero = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<s:int,k:int,kind:string,e:int>>").alias("out"))
+
+    def step(acc, x):
+        kept = F.struct(x["e"].alias("end"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), x["k"].alias("k"), x["kind"].alias("kind"), x["e"].alias("e")))).alias("out"))
+        return F.when(x["s"] >= acc["end"], kept).otherwise(acc)
+
+    return F.aggregate(order, zero, step, lambda acc: acc["out"])
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and added spans."""
+    """doc_id, base spans and added spans; added ones touch neither a base span nor each other."""
     found = materialise(candidate_table(docs), "pii")
     flat = found.select(F.explode(F.concat("base", "others")).alias("x")).groupBy("x.kind", *[f"x.{v}" for v in VOTERS]).agg(F.count("*").alias("n"))
     patterns = sorted((r["kind"], tuple(r[v] for v in VOTERS), r["n"]) for r in flat.collect())
     _, _, post = reliabilities(patterns)
-    return found.select("doc_id", "base", F.filter("others", accepted(span_classifier(patterns, post))).alias("added"))
+    return found.select("doc_id", "base", F.when(F.size("others") > 0, apart(F.filter("others", accepted(span_classifier(patterns, post))))).otherwise(F.array()).alias("added"))
 
 
 def of_kind(kind: str):

@@ -29,6 +29,7 @@ from sablefin.llm.shared import materialise, new_path, table
 
 CRLF = b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+# Field names of the two versions' header lines.
 V1 = ("url", "address", "date", "type", "length")
 V2 = ("url", "address", "date", "type", "code", "checksum", "location", "offset", "file", "length")
 
@@ -55,24 +56,46 @@ def arc_version_block(version: int) -> bytes:
     return f"filedesc://synthetic.arc 0.0.0.0 20000101000000 text/plain {'' if version == 1 else '200 - - 0 - '}{len(body)}\n".encode() + body + b"\n"
 
 
+# Field patterns of a header line. A URL may hold spaces, and so may a type; address, date and length do not.
+V1_LINE = re.compile(r"(.*\S) (\S+) ([0-9]{8,17}) (.*) ([0-9]+)")
+V2_LINE = re.compile(r"(.*\S) (\S+) ([0-9]{8,17}) (.*) ([0-9]{3}|-) (\S+) (\S+) ([0-9]+|-) (\S+) ([0-9]+)")
+
+
+def header(line: bytes, version: int | None) -> dict | None:
+    """The fields of an ARC header line of a version, or of either; None if it is not one."""
+    text = line.rstrip(b"\r\n").decode("utf-8", "replace")
+    for number, names, pattern in ((2, V2, V2_LINE), (1, V1, V1_LINE)):
+        if version in (None, number) and (m := pattern.fullmatch(text)):
+            return dict(zip(names, (x.strip() for x in m.groups()), strict=True)) | {"version": number}
+    return None
+
+
 def parse_arc(stream) -> Iterator[dict]:
-    """Records of an ARC stream; the filedesc record tells the version, and each line's field count must fit it."""
-    version = None
+    """Records of an ARC stream; the filedesc record tells the version for all that follow.
+
+    A record that cannot be used is given with what is wrong in error, and reading goes on: lines that are no
+    header are passed over up to the next that is (one error for each such stretch), a block that ends early
+    keeps what is there.
+    """
+    version, lost = None, 0
     while line := stream.readline():
         if line in (b"\n", b"\r\n"):
             continue
-        parts = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
-        names = V2 if len(parts) == 10 and version != 1 else V1
-        if len(parts) != len(names) or not parts[-1].isdigit():
-            raise ValueError(f"not an ARC header line: {line[:80]!r}")
-        record = dict(zip(names, parts, strict=True))
-        block = stream.read(int(record["length"]))
-        if len(block) != int(record["length"]):
-            raise ValueError("an ARC block is shorter than declared")
+        record = header(line, version) or (header(line, None) if line.startswith(b"filedesc:") else None)
+        if record is None:
+            if not lost:
+                yield {"url": "", "address": "", "date": "", "type": "", "length": "0", "version": version or 0, "block": b"", "error": f"not an ARC header line: {line[:80]!r}"}
+            lost += 1
+            continue
+        lost = 0
+        size = int(record["length"])
+        block = stream.read(size)
+        error = "the block is shorter than declared" if len(block) < size else None
         if record["url"].startswith("filedesc:"):
-            version = int(block.split(b" ", 1)[0])
+            told = re.match(rb"([12]) ", block)
+            version = int(told[1]) if told else record["version"]
             continue
-        yield record | {"version": version or (2 if names is V2 else 1), "block": block}
+        yield record | {"block": block, "error": error}
 
 
 def iso_date(date: str) -> str:
@@ -132,16 +155,20 @@ class Members(io.RawIOBase):
     """The plain bytes of a file of gzip members, read piece by piece."""
 
     def __init__(self, stream):
-        self.stream, self.z, self.have, self.rest = stream, zlib.decompressobj(31), b"", b""
+        self.stream, self.z, self.have, self.rest, self.begun = stream, zlib.decompressobj(31), b"", b"", False
 
     def fill(self) -> bool:
         data = self.rest or self.stream.read(1 << 20)
         self.rest = b""
         if not data:
+            if self.begun:
+                self.begun = False
+                raise EOFError("a gzip member is cut off")
             return False
+        self.begun = True
         self.have += self.z.decompress(data)
         if self.z.eof:
-            self.rest, self.z = self.z.unused_data, zlib.decompressobj(31)
+            self.rest, self.z, self.begun = self.z.unused_data, zlib.decompressobj(31), False
         return True
 
     def readline(self, size=-1) -> bytes:
@@ -160,6 +187,7 @@ class Members(io.RawIOBase):
 
 
 def parse_warc(stream) -> Iterator[tuple[dict, bytes]]:
+    """Headers and blocks. A record that is not whole ends the reading with an error: archives are read as they were written, or again."""
     while line := stream.readline():
         if line.strip() == b"":
             continue
@@ -253,6 +281,65 @@ def read_archives(paths: DataFrame, root: str) -> DataFrame:
     return paths.mapInArrow(read, schema)
 
 
+class Plain:
+    """A stream with lines and reads of whole lengths, from one that may read less."""
+
+    def __init__(self, stream):
+        self.stream, self.have = stream, b""
+
+    def fill(self) -> bool:
+        data = self.stream.read(1 << 20)
+        self.have += data
+        return bool(data)
+
+    readline, read = Members.readline, Members.read
+
+
+def plain(stream, path: str):
+    return Members(stream) if path.endswith(".gz") else Plain(stream)
+
+
+def convert_archives(paths: DataFrame, root: str) -> DataFrame:
+    """ARC files (column path; .gz or plain, either version) to WARC files under root: one row a record.
+
+    (path, number, url, date, record_type, payload_bytes, payload_digest, warc, error). A record with an error is
+    not written and has no warc; so is the rest of a file whose compressed data is broken, as one record.
+    """
+    names = ["path", "number", "url", "date", "record_type", "payload_bytes", "payload_digest", "warc", "error"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def convert(batches):
+        target, base = open_fs(root)
+        target.create_dir(base, recursive=True)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                source, at = open_fs(path)
+                to, rows = f"{base}/{uuid.uuid4().hex}.warc.gz", []
+                with source.open_input_stream(at, compression=None) as f, target.open_output_stream(to, compression=None) as out:
+                    records = parse_arc(plain(f, path))
+                    while True:
+                        try:
+                            record = next(records, None)
+                        except (zlib.error, EOFError, OSError) as e:
+                            rows.append((path, len(rows), None, None, None, 0, None, None, f"broken data: {e}"))
+                            break
+                        if record is None:
+                            break
+                        if record["error"]:
+                            rows.append((path, len(rows), record["url"], record["date"], None, len(record["block"]), None, None, record["error"]))
+                            continue
+                        payload = http_payload(record["block"])
+                        record["url"] = safe_url(record["url"])
+                        out.write(gzip_member(warc_record(record, f"{path}#{len(rows)}")))
+                        kind = "response" if record["block"].startswith(b"HTTP/") else "resource"
+                        rows.append((path, len(rows), record["url"], iso_date(record["date"]), kind, len(payload), digest32(payload), to, None))
+                for i in range(0, len(rows), 5000):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 5000]], t) for c, t in enumerate(types)], names)
+
+    schema = "path string, number long, url string, date string, record_type string, payload_bytes long, payload_digest string, warc string, error string"
+    return paths.select("path").mapInArrow(convert, schema)
+
+
 def archive_pages(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Pages to archives and back: one row for each record read.
 
