@@ -13,35 +13,54 @@ from pyspark.sql import functions as F
 from sablefin.llm import decontaminate, language, lines, minhash, packing
 from sablefin.llm.shared import WORD, materialise, table
 
-MIN_SCORE = 0.35
+MIN_GAIN = 0.15  # of the way from chance to certainty
 ORACLE_SQL = None  # training, sketching and tokenizing have no SQL form
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose best language has a mean probability below MIN_SCORE."""
-    return language.accepted(docs, *language.fit(language.training_rows(docs)), min_score=MIN_SCORE)
+    """Rejects documents without a letter, and those whose best language is hardly better than chance (MIN_GAIN).
+
+    A null or empty text goes; a null doc_id or other columns decide nothing; repeated rows share their fate; without
+    any labelled row there is no model and everything goes; an empty table stays one.
+    """
+    return language.accepted(docs, *language.fit(language.training_rows(docs)), min_gain=MIN_GAIN)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines with an earlier match; a document that loses its last word goes."""
-    cut = lines.line_dedup(docs)
+    """Cuts lines with an earlier match; a document that loses its last word goes.
+
+    A row with a null doc_id or text passes as it is; rows of one doc_id count as one document, whose equal line numbers
+    never match each other; n_chars, where there is such a column, follows the cut.
+    """
+    others = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # whatever their names
+    cut = lines.line_dedup(docs.withColumnsRenamed(others))
     left = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    count = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return left.withColumns(count).select(docs.columns)
+    if n := others.get("n_chars"):
+        left = left.withColumn(n, F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType))
+    return left.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more.
+
+    A text that is null or has no word is like no other and stays, as does a row with a null doc_id; all rows of the
+    smallest doc_id of a group stay, those of the others go.
+    """
     gone = minhash.near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     gone = materialise(gone, "near-gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, whole or in large part, go.
+
+    Null and empty texts hold none and stay, as does everything where the benchmark is empty.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null or empty text is its end id alone, a null doc_id is carried as null."""
     return packing.pack(docs)
 
 
