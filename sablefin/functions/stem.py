@@ -61,6 +61,7 @@ def past(word: str) -> str:
 
 
 def stem(word: str) -> str:
+    word = word.lower()
     if len(word) <= 2:
         return word
     word = swap(swap(past(plural(word)), STEP2), STEP3)

@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,8 +166,22 @@ def ivf(vectors: DataFrame, n_rows: int, metric: str = "cosine", column: str = "
 
 
 def ranges(vectors: DataFrame, column: str = "vec") -> DataFrame:
-    """Least and greatest value of each dimension; as many rows as dimensions."""
-    return vectors.select(F.posexplode(V.double(F.col(column))).alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    """Least and greatest value of each dimension; as many rows as dimensions. A task sends one row of them on."""
+
+    def partial(batches):
+        low = high = None
+        for batch in batches:
+            lists = batch.column("v").drop_null()
+            if len(lists):
+                m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+                low = m.min(axis=0) if low is None else np.minimum(low, m.min(axis=0))
+                high = m.max(axis=0) if high is None else np.maximum(high, m.max(axis=0))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([low.tolist()]), pa.array([high.tolist()])], ["low", "high"])
+
+    rows = vectors.select(V.double(F.col(column)).alias("v")).mapInArrow(partial, "low array<double>, high array<double>")
+    rows = rows.select(F.posexplode(F.arrays_zip("low", "high")).alias("dim", "x"))
+    return rows.groupBy("dim").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
 
 
 def quantised(vectors: DataFrame, column: str = "vec") -> DataFrame:

@@ -15,9 +15,9 @@ def top_k(hits: DataFrame, k: int = 10, min_score: float | None = None) -> DataF
 
 
 def fetch(hits: DataFrame, docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Stored columns of the hits. hits has at most k rows by now, so they are what is broadcast; the documents are scanned in place."""
+    """Stored columns of the hits. Hits cut to k rows are small enough for the planner to broadcast them; others are joined as they come."""
     wanted = docs.select("doc_id", *(c for c in (columns or docs.columns) if c not in ("doc_id", "score")))
-    return wanted.join(F.broadcast(hits), "doc_id")
+    return wanted.join(hits, "doc_id")
 
 
 def sort_key(column: Column, descending: bool) -> Column:

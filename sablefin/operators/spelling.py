@@ -68,17 +68,31 @@ def suggestion_score(word: Column, candidate: Column, edits: Column, freq: Colum
     return F.least(F.lit(1.0), near * length * prefix * keys)
 
 
-def suggestions(dictionary: Dictionary, words: DataFrame, max_edits: int = 2, min_freq: int = 1, keyboard: bool = True) -> DataFrame:
+def shortened(word: Column, edits: int) -> Column:
+    """The word and what up to so many deletions leave of it; two words within that many edits share one."""
+    out = last = F.array(word)
+    for _ in range(edits):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda w: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w))), lambda i: i <= F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))))
+        out = F.array_union(out, last)
+    return out
+
+
+def suggestions(dictionary: Dictionary, words: DataFrame, max_edits: int = 2, min_freq: int = 1, keyboard: bool = True, many: bool = False) -> DataFrame:
     """(query_word, word, edits, freq, score) for a table with column query_word; a known word suggests itself alone with score 1.
 
-    The dictionary is scanned once against the given words by a join on length (each query word with
-    the lengths it may meet) and the first letters that two edits can leave, so a pair is only ever
-    made within a length; Levenshtein with a threshold decides.
+    A few words (a query's) go to one scan of the dictionary, by a join on length (each with the lengths it may
+    meet). Where the words are many, as a vocabulary is, both sides are keyed by what deletions leave of them, so
+    that only near words meet. Levenshtein with a threshold decides.
     """
-    known = dictionary.words.filter(F.col("freq") >= min_freq).withColumn("n", F.length("word"))
-    lengths = F.sequence(F.greatest(F.lit(1), F.length("query_word") - max_edits), F.length("query_word") + max_edits)
-    asked = words.select("query_word").distinct().select("query_word", F.explode(lengths).alias("n"))
-    pairs = known.join(asked, "n").withColumn("edits", F.levenshtein(F.col("query_word"), F.col("word"), max_edits)).filter(F.col("edits") >= 0)
+    known = dictionary.words.filter(F.col("freq") >= min_freq)
+    if many:
+        known = known.select("word", "freq", F.explode(shortened(F.col("word"), max_edits)).alias("n"))
+        asked = words.select("query_word").distinct().select("query_word", F.explode(shortened(F.col("query_word"), max_edits)).alias("n"))
+        met = known.join(asked, "n").select("query_word", "word", "freq").distinct()
+    else:
+        lengths = F.sequence(F.greatest(F.lit(1), F.length("query_word") - max_edits), F.length("query_word") + max_edits)
+        met = known.withColumn("n", F.length("word")).join(words.select("query_word").distinct().select("query_word", F.explode(lengths).alias("n")), "n")
+    pairs = met.withColumn("edits", F.levenshtein(F.col("query_word"), F.col("word"), max_edits)).filter(F.col("edits") >= 0)
     exact = Window.partitionBy("query_word")
     pairs = pairs.withColumn("is_known", F.min("edits").over(exact) == 0).filter(~F.col("is_known") | (F.col("edits") == 0))
     pairs = pairs.crossJoin(F.broadcast(dictionary.totals()))

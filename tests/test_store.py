@@ -185,5 +185,9 @@ def test_spelling(spark):
     hits = {"saerch": 0, "search": 3}
     found, fix = spelling.corrected_search(lambda t: spark.range(hits.get(t, 0)), corrector, "saerch")
     assert found.count() == 3 and fix.corrected == "search"
+    some = spelling.Dictionary(spark.createDataFrame([(w, i + 1) for i, w in enumerate("a ab abc bca acb cat cart carts tarc scat xyz é éa".split())], "word string, freq long"))
+    asked = spark.createDataFrame([(w,) for w in ("abc", "cta", "a", "éab", "zzzzzz")], "query_word string")
+    both = [sorted(map(tuple, spelling.suggestions(some, asked, many=m, keyboard=False).collect())) for m in (False, True)]
+    assert both[0] == both[1] and len(both[0]) > 8
     odd = spark.createDataFrame([("aaa",), ("w0rd",), ("strngth",), ("word",)], "w string").select(spelling.might_be_misspelled(F.col("w")).alias("x")).collect()
     assert [r["x"] for r in odd] == [True, True, True, False]
