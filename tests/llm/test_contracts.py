@@ -174,6 +174,44 @@ def test_entropy_windows(spark):
     assert all(r["h"] == pytest.approx(brute.entropy(r["c"], secrets.WINDOW), abs=1e-9) for r in df.collect())
 
 
+@pytest.fixture(scope="module")
+def again_dir(spark, tmp_path_factory):
+    """Rows that repeat an id with the same text and with others, null ids, and clashing columns in every table."""
+    root = str(tmp_path_factory.mktemp("again"))
+    texts = [SEED, SEED, SEED + " phi", "\n".join([SEED, SEED.replace("mu", "MU2")]), None, "mail a@b.cd token=abcdefgh12 " + SEED[:30]]
+    rows = [(i % 3 if i < 9 else None, texts[i % 6 if i % 2 else i % 3], "en", i) for i in range(12)] + [(5, SEED, "fr", 1)] * 3
+    extra = {c: F.lit(1) for c in ("n", "label", "id", "key", "w", "h", "s", "t", "block", "score", "gone", "n_removed", "item_text", "region", "sha", "size", "top")}
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").withColumns(extra).write.parquet(f"{root}/documents.parquet")
+    pages = [(1, "u", "<p>"), (1, "u", "<p>"), (None, "u", "<p>"), (2, "v", "<p>"), (3, "w", "x"), (3, "w", "y"), (None, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").withColumns(extra).write.parquet(f"{root}/pages.parquet")
+    spark.createDataFrame([(0, SEED), (0, SEED), (None, SEED)], "item_id long, text string").withColumns({c: v for c, v in extra.items() if c != "n"} | {"doc_id": F.lit(0)}).write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0), (0, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").withColumns(extra).write.parquet(f"{root}/labels.parquet")
+    yield root
+    shutil.rmtree(root)
+
+
+@pytest.mark.parametrize("name", list(catalog.MODULES))
+def test_repeated_and_null_ids(spark, again_dir, name):
+    """One result for each row (op5, op6: of each id), equal rows alike; a row with a null id keeps its own."""
+    got = catalog.queries()[name](spark, again_dir)
+    table, key = ("pages", "page_id") if name == "op2_warc" else ("documents", "doc_id")
+    rows = [r[key] for r in spark.read.parquet(f"{again_dir}/{table}.parquet").collect()]
+    found = got.collect()
+    ids = [r[key] for r in found]
+    if name == "op5_decontaminate":
+        assert set(ids) <= set(rows) and {0, 1, 2, 5} <= set(ids)
+        return
+    if name == "op6_packing":
+        assert set(ids) == set(rows) and sum(r["start"] == 0 for r in found) == len(rows)
+        return
+    assert sorted(map(str, ids)) == sorted(map(str, rows))
+    same = {tuple(r.asDict().values()) for r in found if r[key] == (1 if name == "op2_warc" else 5)}
+    assert len({x[1:] for x in same}) == 1
+    if name == "op1_near_dedup":
+        assert all(r["kept"] and r["component_id"] is None for r in found if r["doc_id"] is None)
+        assert {r["component_id"] for r in found if r["doc_id"] in (0, 1, 2, 5) and r["n_shingles"] > 3} == {0}
+
+
 @pytest.mark.parametrize("name", list(catalog.MODULES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "benchmark", "labels"):
