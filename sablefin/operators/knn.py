@@ -141,6 +141,24 @@ class Ivf:
         near = sorted(range(len(self.centroids)), key=lambda i: gap(self.centroids[i]))[:probes]
         return knn(self.vectors.filter(F.col("cluster").isin(near)), query, k, self.metric, column=self.column, key=key)
 
+    def probe_many(self, queries: DataFrame, k: int = 10, probes: int = 10, key: str = "doc_id") -> DataFrame:
+        """(query, doc_id, score), k for each row (doc_id, vec) of a table of queries: each meets only the vectors of its nearest clusters, by a join on the cluster."""
+        centres = np.asarray(self.centroids)
+        probes = min(probes, len(centres))
+
+        def nearest(batches):
+            for batch in batches:
+                v = np.asarray(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                gap = (v * v).sum(1)[:, None] - 2 * v @ centres.T + (centres * centres).sum(1)[None, :] if len(v) else np.zeros((0, len(centres)))
+                near = np.argpartition(gap, probes - 1, axis=1)[:, :probes] if len(v) else np.zeros((0, probes), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("v"), pa.array(near.tolist(), pa.list_(pa.int32()))], ["query", "v", "clusters"])
+
+        asked = queries.select(F.col(key).cast("long").alias("query"), V.double(F.col(self.column)).alias("v")).mapInArrow(nearest, "query long, v array<double>, clusters array<int>")
+        pairs = self.vectors.join(asked.select("query", "v", F.explode("clusters").alias("cluster")), "cluster")
+        scored = pairs.select("query", F.col(key).alias("doc_id"), V.similarity(F.col(self.column), F.col("v"), self.metric).alias("score"))
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+
     def cluster_sizes(self) -> DataFrame:
         return self.vectors.groupBy("cluster").agg(F.count("*").alias("n"))
 
