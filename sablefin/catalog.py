@@ -833,6 +833,13 @@ def did_you_mean(spark, sf):
     return spark.createDataFrame([(fix.query, fix.corrected, fix.did_you_mean, float(fix.confidence))], "query string, corrected string, did_you_mean string, confidence double")
 
 
+@query("SELECT p_partkey, levenshtein('STANDARD COPPER', p_type) AS distance, CASE WHEN levenshtein('STANDARD COPPER', p_type) <= 9 THEN levenshtein('STANDARD COPPER', p_type) END AS within, round(1 - levenshtein('STANDARD COPPER', p_type) / greatest(length(p_type), 15), 6) AS similarity, levenshtein('STANDARD COPPER', p_type) <= 12 AS matches FROM part")
+def levenshtein_matcher(spark, sf):
+    word = strings.Matcher("STANDARD COPPER")
+    c = F.col("p_type")
+    return table(spark, sf, "part").select("p_partkey", word.distance(c).alias("distance"), word.distance_within(c, 9).alias("within"), F.round(word.similarity(c), 6).alias("similarity"), word.matches(c, 12).alias("matches"))
+
+
 # Changes and columns
 
 

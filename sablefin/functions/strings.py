@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,26 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+@dataclass(frozen=True)
+class Matcher:
+    """One word held against a column of candidates."""
+
+    word: str
+
+    def distance(self, candidate: Column) -> Column:
+        return levenshtein(F.lit(self.word), candidate)
+
+    def distance_within(self, candidate: Column, threshold: int) -> Column:
+        """Null over the threshold."""
+        return levenshtein(F.lit(self.word), candidate, threshold)
+
+    def similarity(self, candidate: Column) -> Column:
+        return levenshtein_ratio(F.lit(self.word), candidate)
+
+    def matches(self, candidate: Column, most: int) -> Column:
+        return self.distance_within(candidate, most).isNotNull()
+
+
 def aligned(a: str, b: str, swaps: bool = False, price=lambda x, y: 1.0) -> float:
     """Cheapest alignment row by row: insertions and deletions cost 1, a substitution price(x, y), a swap of neighbours 1."""
     older: list[float] = []

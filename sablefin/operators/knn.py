@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,6 +169,38 @@ class Ivf:
         return self.cluster_sizes().withColumn("action", action).filter(F.col("action").isNotNull())
 
 
+    def rebalanced(self, sparse: int, dense: int, sample: int = 200_000, seed: int = 1) -> Ivf:
+        """The plan carried out: dense clusters are split in two (fitted on at most about sample of their rows), sparse ones lose
+        their centroid; only vectors of changed clusters get another, the nearest of all that are left."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        plan = {r["cluster"]: (r["action"], r["n"]) for r in self.plan_rebalance(sparse, dense).collect()}  # one row a cluster
+        centres: list[list[float] | None] = list(self.centroids)
+        live = len(centres)
+        for c, (action, n) in sorted(plan.items(), key=lambda x: x[1][1]):
+            if action == "merge" and live > 1:
+                centres[c], live = None, live - 1
+        for c, (action, n) in plan.items():
+            if action == "split":
+                own = self.vectors.filter(F.col("cluster") == c).select(array_to_vector(V.double(F.col(self.column))).alias("_point"))
+                two = KMeans(k=2, seed=seed, featuresCol="_point").fit(own if n <= sample else own.sample(sample / n, seed)).clusterCenters()
+                if len(two) == 2:
+                    centres[c] = list(map(float, two[0]))
+                    centres.append(list(map(float, two[1])))
+        ids = [i for i, c in enumerate(centres) if c is not None]
+        held = np.asarray([centres[i] for i in ids])
+
+        def nearest(v: pd.Series) -> pd.Series:
+            x = np.stack([np.asarray(a, np.float64) for a in v]) if len(v) else np.zeros((0, held.shape[1]))
+            return pd.Series(np.asarray(ids)[((held * held).sum(1)[None, :] - 2 * x @ held.T).argmin(axis=1)], dtype="int32")
+
+        moved = F.when(F.col("cluster").isin(list(plan)), F.pandas_udf(nearest, "int")(V.double(F.col(self.column)))).otherwise(F.col("cluster"))
+        names = {old: new for new, old in enumerate(ids)}  # numbers follow the list of centroids again
+        number = F.element_at(F.array(*[F.lit(names.get(i, -1)) for i in range(len(centres))]), moved + 1)
+        return Ivf(self.vectors.withColumn("cluster", number.cast("int")), [centres[i] for i in ids], self.metric, self.column)
+
+
 def ivf(vectors: DataFrame, n_rows: int, metric: str = "cosine", column: str = "vec", clusters: int | None = None, seed: int = 1, sample: int = 200_000) -> Ivf:
     """Clusters by k-means (k-means|| start, at most 100 rounds, tolerance 1e-6), fitted on at most about sample rows; every row is assigned."""
     from pyspark.ml.clustering import KMeans

@@ -25,6 +25,19 @@ def test_many_probes(spark):
         assert many == {(q["doc_id"], r["doc_id"]) for q in asked.collect() for r in index.probe(q["vec"], 5, probes).collect()}
 
 
+def test_ivf_rebalance(spark):
+    """Sparse clusters go, dense ones are split, and every vector is with the nearest of the changed centroids or where it was."""
+    points = [[float(i % 5) * 0.01, 0.0] for i in range(30)] + [[5.0 + (i % 3) * 0.01, 5.0] for i in range(30)] + [[-9.0, 9.0]] * 2 + [[9.0, -9.0]] * 12
+    rows = spark.createDataFrame([(i, p, 0 if p[1] in (0.0, 5.0) else 1 if p[0] < 0 else 2) for i, p in enumerate(points)], "doc_id long, vec array<double>, cluster int")
+    index = knn.Ivf(rows, [[2.5, 2.5], [-9.0, 9.0], [9.0, -9.0]])
+    new = index.rebalanced(sparse=5, dense=40)
+    sizes = {r["cluster"]: r["n"] for r in new.cluster_sizes().collect()}
+    assert len(new.centroids) == 3 and sum(sizes.values()) == len(points) and sorted(sizes.values())[0] == 12 and max(sizes) < 3
+    for r in new.vectors.collect():
+        gaps = [sum((a - b) ** 2 for a, b in zip(c, r["vec"], strict=True)) for c in new.centroids]
+        assert gaps[r["cluster"]] == min(gaps)
+
+
 def test_sum_is_whole(spark):
     """A document outside one field's best k keeps that field's share."""
     data = [(1, "f", [1.0, 0.0]), (1, "g", [0.0, 1.0]), (2, "f", [0.8, 0.6]), (2, "g", [0.8, 0.6]), (3, "f", [0.0, 1.0]), (3, "g", [1.0, 0.0])]
