@@ -1,11 +1,12 @@
 """Harmonic packing of documents into fixed-capacity token sequences.
 
-Class j (1 to CLASSES) holds pieces of exactly capacity // j tokens, and a bin of class j takes
-exactly j pieces, so filling needs no search and each worker packs alone. A document's ids are cut
-into whole sequences, then its rest greedily into the largest class size that fits; a rest below
-the smallest class goes to the last class, whose bins are filled in order and cut at their ends.
-When a worker ends, its open bins are poured into the last class, and the final partial sequence
-is split at powers of two, which need no padding. Memory holds at most one open bin a class.
+Class j (1 to CLASSES) takes documents of more than capacity / (j + 1) and at most capacity / j tokens, the
+last class all smaller ones too, and a bin of class j takes exactly j of them, whole. So filling needs no
+search and each worker packs alone. A full bin's gap is closed by the next document, the only one that is
+cut for it; what is left of that one goes to its own class. Longer documents give whole sequences first.
+When a worker ends, its open bins are poured together in order and cut at the ends of sequences, and the
+final partial sequence is split at powers of two, which need no padding. Memory holds at most one open bin a
+class and one that waits for its gap to be closed.
 
 Defined cases: a null text is an empty document (only its end id); the order of rows within a
 partition decides neighbours; a null doc_id is carried as null; an empty table gives no pieces.
@@ -116,8 +117,9 @@ class Packer:
 
     def __init__(self, first: int, capacity: int = CAPACITY, classes: int = CLASSES):
         self.next, self.capacity = first, capacity
-        self.sizes = list(dict.fromkeys(capacity // j for j in range(1, classes + 1) if capacity // j))
-        self.bins: dict[int, list] = {s: [] for s in self.sizes}
+        self.bins: list[list] = [[] for _ in range(classes + 1)]
+        self.waiting: list = []
+        self.gap = 0
         self.tail: list = []
         self.tail_room = capacity
         self.rows: list[tuple] = []
@@ -141,22 +143,35 @@ class Packer:
 
     def add(self, doc, ids: np.ndarray) -> None:
         start, total = 0, len(ids)
-        for size in self.sizes:
-            while total - start >= size:
-                held = self.bins[size]
-                held.append((doc, start, ids[start : start + size], total))
-                start += size
-                if len(held) == self.capacity // size:
-                    self.emit(held)
-                    held.clear()
-        if start < total:
-            self.pour(doc, start, ids[start:].copy(), total)
+        while start < total:
+            rest = ids[start:]
+            if self.waiting:
+                part = rest[: self.gap]
+                self.waiting.append((doc, start, part, total))
+                start, self.gap = start + len(part), self.gap - len(part)
+                if not self.gap:
+                    self.emit(self.waiting)
+                    self.waiting = []
+            elif len(rest) >= self.capacity:
+                self.emit([(doc, start, rest[: self.capacity], total)])
+                start += self.capacity
+            else:
+                number = min(self.capacity // len(rest), len(self.bins) - 1)
+                held = self.bins[number]
+                held.append((doc, start, rest.copy() if start else rest, total))
+                start = total
+                if len(held) == number:
+                    self.bins[number], self.gap = [], self.capacity - sum(len(p[2]) for p in held)
+                    if self.gap:
+                        self.waiting = held
+                    else:
+                        self.emit(held)
 
     def close(self) -> None:
-        for held in self.bins.values():
+        for held in (self.waiting, *self.bins):
             for piece in held:
                 self.pour(*piece)
-            held.clear()
+        self.waiting, self.bins = [], [[] for _ in self.bins]
         left, self.tail = self.tail, []
         room = 0
         now: list = []
