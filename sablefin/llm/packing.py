@@ -79,7 +79,7 @@ class Encoder:
         plain = [m.groups() if (m := self.PLAIN.fullmatch(w)) else None for w in words]
         split = [(m[0].lower(), m[1]) if m else (w, "") for w, m in zip(words, plain, strict=True)]
         new = list({p for pair, m in zip(split, plain, strict=True) if m for p in pair}.difference(at))
-        other = list({w for w, m in zip(words, plain, strict=True) if not m}.difference(at))
+        other = list({w for w, m in zip(words, plain, strict=True) if not m}.difference(at, new))
         ids = self.encode(new) + [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         at.update(zip([*new, *other], range(len(at), len(at) + len(ids)), strict=True))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
