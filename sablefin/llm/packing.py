@@ -32,7 +32,7 @@ from sablefin.llm.kernels import slices, tidy
 from sablefin.llm.shared import table
 
 CAPACITY, CLASSES, END_ID = 4096, 32, 2
-CACHE_WORDS, BATCH_BYTES = 150_000, 2 << 20
+CACHE_WORDS, BATCH_BYTES = 300_000, 4 << 20
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 SCHEMA = ", ".join(f"{c} long" for c in COLUMNS)
 
