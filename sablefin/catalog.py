@@ -568,7 +568,7 @@ def similar_sql(score: str) -> str:
 
 
 def similar_to_3(spark, sf, algorithm: str) -> DataFrame:
-    return rounded(similar.similar(doc_index(spark, sf), [3], "text", algorithm, min_similarity=0.01)).orderBy(F.desc("score"), "doc_id")
+    return similar.similar(doc_index(spark, sf), [3], "text", algorithm, min_similarity=0.01, digits=6)
 
 
 @query(similar_sql("dot / sqrt(s2 * q2)"))

@@ -12,9 +12,12 @@ MOST_LISTED = 2000
 ALGORITHMS = ("cosine", "jaccard", "euclidean", "manhattan", "term_frequency", "bm25")
 
 
-def similar(index: Index, doc_ids: list[int], field: str, algorithm: str = "cosine", min_similarity: float = 0.1, k: int = 20, normalise: bool = True) -> DataFrame:
+def similar(index: Index, doc_ids: list[int], field: str, algorithm: str = "cosine", min_similarity: float = 0.1, k: int = 20, normalise: bool = True, digits: int | None = None) -> DataFrame:
     """(doc_id, score) of the documents most like the given ones (their summed counts).
 
+    Sums of fractions differ in their last bits with the order of rows, so equal documents may not tie. With digits, scores
+    are rounded before the best k are chosen: what is equal to so many digits goes by id.
+
     Only postings of the given documents' terms are read; what other terms add to a norm was summed when
     the index was built. Documents of more than MOST_LISTED distinct terms take a join in place of the list.
     """
@@ -50,4 +53,7 @@ def similar(index: Index, doc_ids: list[int], field: str, algorithm: str = "cosi
         "term_frequency": F.col("low") / (total - F.col("low")),
         "bm25": F.col("bm25"),
     }[algorithm]
-    return by_doc.select("doc_id", score.alias("score")).filter(F.col("score") >= min_similarity).orderBy(F.desc("score"), "doc_id").limit(k)
+    found = by_doc.select("doc_id", score.alias("score")).filter(F.col("score") >= min_similarity)
+    if digits is not None:
+        found = found.withColumn("score", F.round("score", digits))
+    return found.orderBy(F.desc("score"), "doc_id").limit(k)
