@@ -15,7 +15,7 @@ def near_ties(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["mlt_manhattan", "mlt_cosine"])
+@pytest.mark.parametrize("name", ["mlt_manhattan", "mlt_tf", "mlt_cosine"])
 def test_similar(spark, near_ties, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{near_ties}/documents.parquet/*.parquet')")
