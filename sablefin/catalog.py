@@ -728,20 +728,11 @@ def ivf_probe(spark, sf):
     return rounded(index.probe(vector_of(spark, sf, 7), 10, probes=PROBES), "distance", "score")
 
 
-def recall_of_probes(spark, sf, probes: int, block: int = 1000) -> tuple[int, float]:
-    """Queries (every vec_id divisible by 100) and their mean recall of 10 against all vectors, which meet the queries in blocks."""
+def recall_of_probes(spark, sf, probes: int) -> tuple[int, float]:
+    """Queries (every vec_id divisible by 100) and their mean recall of 10 against all vectors."""
     rows = vectors(spark, sf).select("doc_id", "vec")
     index = knn.ivf(rows, rows.count(), clusters=16)
-    asked = rows.filter(F.col("doc_id") % 100 == 0)
-    found = index.probe_many(asked, 10, probes).select("query", "doc_id")
-    ids = sorted((r["doc_id"], list(r["vec"])) for r in asked.collect())
-    common = 0
-    for at in range(0, len(ids), block):
-        part = ids[at : at + block]
-        names = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(part)], "place int, query long")
-        best = knn.knn_many(rows, [v for _, v in part], 10).withColumnRenamed("query", "place").join(names, "place").select("query", "doc_id")
-        common += best.join(found, ["query", "doc_id"]).count()
-    return len(ids), common / max(1, 10 * len(ids))
+    return index.recall(rows.filter(F.col("doc_id") % 100 == 0), 10, probes)
 
 
 @query("SELECT count(*) AS queries, TRUE AS recall_is_enough FROM embeddings WHERE vec_id % 100 = 0")

@@ -132,27 +132,37 @@ def valid(v: Column, dimension: int | None = None) -> Column:
     return F.coalesce(right & (F.size(v) == dimension) if dimension else right, F.lit(False))
 
 
-def batch_similarity(vectors: Column, queries, name: str = "cosine") -> Column:
-    """Similarities to all of a small matrix of query vectors in one matrix product a batch."""
+def scorer(name: str = "cosine"):
+    """A function of two matrices: similarities of each row of the first to each of the second. It goes to executors by value."""
     import numpy as np
 
-    held, kind = np.asarray(queries, np.float64), metric(name)
+    kind = metric(name)
 
-    def run(batch: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(v, np.float64) for v in batch]) if len(batch) else np.zeros((0, held.shape[1]))
+    def run(x, held):
+        if kind == "manhattan":
+            return np.clip(np.exp(-np.abs(x[:, None, :] - held[None, :, :]).sum(axis=2)), 0, 1)
         inner = x @ held.T
-        norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(held, axis=1)[None, :]
-        cos = np.clip(np.divide(inner, norms, out=np.zeros_like(inner), where=norms > 0), -1, 1)
-        if kind == "cosine":
-            s = np.where(norms > 0, cos, 0.0)
-        elif kind == "dot":
+        if kind == "dot":
             s = inner
-        elif kind == "angular":
-            s = np.where(norms > 0, 1 - np.arccos(cos) / np.pi, 0.0)
         elif kind == "euclidean":
             s = np.exp(-np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (held * held).sum(1)[None, :] - 2 * inner)))
         else:
-            s = np.exp(-np.abs(x[:, None, :] - held[None, :, :]).sum(axis=2))
-        return pd.Series(list(np.clip(s, 0, 1)))
+            norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(held, axis=1)[None, :]
+            cos = np.clip(np.divide(inner, norms, out=np.zeros_like(inner), where=norms > 0), -1, 1)
+            s = np.where(norms > 0, cos if kind == "cosine" else 1 - np.arccos(cos) / np.pi, 0.0)
+        return np.clip(s, 0, 1)
+
+    return run
+
+
+def batch_similarity(vectors: Column, queries, name: str = "cosine") -> Column:
+    """Similarities to all of a small matrix of query vectors in one matrix product a batch."""
+    import numpy as np
+
+    held, score = np.asarray(queries, np.float64), scorer(name)
+
+    def run(batch: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(v, np.float64) for v in batch]) if len(batch) else np.zeros((0, held.shape[1]))
+        return pd.Series(list(score(x, held)))
 
     return F.pandas_udf(run, "array<double>")(vectors)

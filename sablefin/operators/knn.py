@@ -10,10 +10,12 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +162,24 @@ class Ivf:
         order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
+    def recall(self, queries: DataFrame, k: int = 10, probes: int = 10, key: str = "doc_id", block: int = 4096) -> tuple[int, float]:
+        """Queries (doc_id, vec) and the mean share of their exact k nearest that a probe finds.
+
+        Every query meets every vector, and a task keeps k rows a query. What a probe finds of the exact k nearest is just what lies in
+        its clusters: none of the clusters' other vectors is nearer, so no search of its own is needed. Queries come in blocks, so
+        neither the driver nor a task ever holds more than one block of them.
+        """
+        cores = self.vectors.sparkSession.sparkContext.defaultParallelism
+        rows = self.vectors.select(F.col(key).cast("long").alias("doc_id"), V.double(F.col(self.column)).alias("v"), "cluster")
+        rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        asked, common = 0, 0
+        found = iter(queries.select(V.double(F.col(self.column)).alias("v")).toLocalIterator())
+        while held := [r["v"] for r in islice(found, block)]:
+            asked += len(held)
+            near = nearest_of(rows, np.asarray(held, np.float64), np.asarray(self.centroids), k, min(probes, len(self.centroids)), self.metric)
+            common += near.agg(F.count_if("probed")).first()[0]
+        return asked, common / max(1, k * asked)
+
     def cluster_sizes(self) -> DataFrame:
         return self.vectors.groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -201,6 +221,47 @@ class Ivf:
         return Ivf(self.vectors.withColumn("cluster", number.cast("int")), [centres[i] for i in ids], self.metric, self.column)
 
 
+def nearest_of(rows: DataFrame, held: np.ndarray, centres: np.ndarray, k: int, probes: int, metric: str) -> DataFrame:
+    """(query, doc_id, score, probed): the exact k nearest of rows (doc_id, v, cluster) to each of a block of queries, by its place there;
+    ties by id. probed: the row is in one of the query's nearest clusters."""
+    gap = (held * held).sum(1)[:, None] - 2 * held @ centres.T + (centres * centres).sum(1)[None, :]
+    near = np.zeros(gap.shape, bool)
+    np.put_along_axis(near, np.argpartition(gap, probes - 1, axis=1)[:, :probes], True, axis=1)
+    score, tile, step = V.scorer(metric), 1024, 16 if V.metric(metric) == "manhattan" else 4096
+    out = ["query", "doc_id", "score", "cluster"]
+
+    def run(batches):
+        best = [tuple(np.empty(0, t) for t in ("i4", "i8", "f8", "i4")) for _ in range(0, len(held), tile)]  # by query, then best first
+        least = np.full(len(held), -np.inf)  # of a query's k so far, the last one's score and id
+        last = np.full(len(held), np.iinfo(np.int64).max)
+        for batch in batches:
+            ids = pc.fill_null(batch.column("doc_id"), np.iinfo(np.int64).min).to_numpy()
+            at = batch.column("cluster").to_numpy()
+            x = batch.column("v").flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, held.shape[1]))
+            for i in range(0, len(ids), step):
+                for j in range(0, len(held), tile):
+                    s = score(x[i : i + step], held[j : j + tile])
+                    low, own = least[j : j + tile], ids[i : i + step]
+                    r, q = np.nonzero((s > low) | ((s == low) & (own[:, None] < last[j : j + tile])))
+                    if not len(r):
+                        continue
+                    old = best[j // tile]
+                    every = [np.concatenate(p) for p in zip(old, ((q + j).astype("i4"), own[r], s[r, q], at[i : i + step][r].astype("i4")), strict=True)]
+                    order = np.lexsort((every[1], -every[2], every[0]))
+                    every = [p[order] for p in every]
+                    first = np.searchsorted(every[0], every[0], "left")
+                    kept = np.arange(len(first)) - first < k
+                    best[j // tile] = every = tuple(p[kept] for p in every)
+                    full = np.flatnonzero(np.arange(len(every[0])) - np.searchsorted(every[0], every[0], "left") == k - 1)
+                    least[every[0][full]], last[every[0][full]] = every[2][full], every[1][full]
+        for part in best:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array(near[part[0], part[3]])], [*out, "probed"])
+
+    found = rows.mapInArrow(run, "query int, doc_id long, score double, cluster int, probed boolean")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "doc_id", "score", "probed")
+
+
 def ivf(vectors: DataFrame, n_rows: int, metric: str = "cosine", column: str = "vec", clusters: int | None = None, seed: int = 1, sample: int = 200_000) -> Ivf:
     """Clusters by k-means (k-means|| start, at most 100 rounds, tolerance 1e-6), fitted on at most about sample rows; every row is assigned."""
     from pyspark.ml.clustering import KMeans
