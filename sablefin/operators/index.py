@@ -9,20 +9,28 @@ norms       field, doc_id, n_terms, s1, s2             (distinct terms, sums of
 
 An index that was just built is a set of lazy plans: a filter on terms stops at the tokens, before
 the shuffle. A saved index has postings range-partitioned and sorted by field and term, so the same
-filter prunes files and row groups.
+filter prunes files and row groups; it is made from the terms of documents with one shuffle.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from sablefin.functions.analyzers import STANDARD, Analyzer, PerField
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 TABLES = ("docs", "postings", "lengths", "term_stats", "field_stats", "norms")
 
 
@@ -52,6 +60,7 @@ class Index:
     norms: DataFrame
     fields: tuple[str, ...]
     analyzers: PerField = field(default_factory=PerField)
+    terms: DataFrame | None = None  # field, doc_id, terms: of an index just built
 
     @property
     def spark(self) -> SparkSession:
@@ -95,11 +104,146 @@ def build(docs: DataFrame, fields: Mapping[str, Analyzer] | list[str], key: str
     tokens = terms.select("field", "doc_id", F.size("terms").alias("len"), F.posexplode("terms").alias("pos", "term"))
     postings = tokens.groupBy("field", "term", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     term_stats = tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf")).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-    field_stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.count("len").alias("doc_count"), F.avg("len").alias("avg_len"), F.min("len").alias("min_len"), F.max("len").alias("max_len"))
     counted = postings.select("field", "term", "doc_id", "tf", "len", "positions")
-    return Index(docs, counted, lengths, term_stats, field_stats, norms_of(counted), tuple(by_field), analyzers)
+    return Index(docs, counted, lengths, term_stats, field_stats_of(lengths), norms_of(counted), tuple(by_field), analyzers, terms)
+
+
+def field_stats_of(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.count("len").alias("doc_count"), F.avg("len").alias("avg_len"), F.min("len").alias("min_len"), F.max("len").alias("max_len"))
 
 
 def norms_of(postings: DataFrame) -> DataFrame:
     w = F.col("tf").cast("double")
     return postings.groupBy("field", "doc_id").agg(F.count("*").alias("n_terms"), F.sum(w).alias("s1"), F.sum(w * w).alias("s2"))
+
+
+# Whole tables from the documents' terms, for a saved index. A document's postings are counted where it is read, so that only
+# one shuffle is left: of blocks, which hold a term's postings in a batch of documents.
+
+
+def counted_terms(batch: pa.RecordBatch):
+    """Of a batch (field, doc_id, terms): the lengths; the distinct terms; and by term and row the starts of its (term, row) pairs among the positions, with each pair's term and row."""
+    lists = batch.column("terms")
+    lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = lists.flatten().dictionary_encode(null_encoding="encode")
+    codes = known.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    order = np.argsort(codes, kind="stable")  # rows and positions keep their order within a term
+    rows = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[order]
+    at = (np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens))[order].astype(np.int32)
+    codes = codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])
+    starts = np.flatnonzero(new)
+    return lens, known.dictionary, at, starts, codes[starts], rows[starts]
+
+
+def sizes_of(terms: DataFrame) -> DataFrame:
+    """(field, doc_id, len, n_terms, s1, s2), a row for each row of terms; len is null without the field."""
+
+    def run(batches):
+        for batch in batches:
+            lens, _, at, starts, _, rows = counted_terms(batch)
+            tf = np.diff(np.append(starts, len(at))).astype(np.float64)
+            n = np.bincount(rows, minlength=len(lens)).astype(np.int64)
+            s2 = np.bincount(rows, weights=tf * tf, minlength=len(lens)).astype(np.float64)
+            length = pa.array(lens.astype(np.int32), mask=pc.is_null(batch.column("terms")).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("doc_id"), length, pa.array(n), pa.array(lens.astype(np.float64)), pa.array(s2)], ["field", "doc_id", "len", "n_terms", "s1", "s2"])
+
+    key = terms.schema["doc_id"].dataType
+    return terms.mapInArrow(run, K.StructType([K.StructField("field", K.StringType()), K.StructField("doc_id", key), *K._parse_datatype_string("len int, n_terms long, s1 double, s2 double").fields]))
+
+
+def blocks_of(terms: DataFrame, splits: Mapping[str, tuple[int, list[str]]]) -> DataFrame:
+    """(part, field, term, ids, lens, starts, positions): a term's documents in a batch, with the start of each one's positions, and the end.
+
+    splits: for each field its first part, and the terms that end one part and begin the next. A term that is listed several
+    times has several parts, and its blocks are dealt to them in turn.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id")
+            order = pc.sort_indices(ids).to_numpy()
+            if (order[1:] < order[:-1]).any():
+                batch = batch.take(pa.array(order))
+                ids = batch.column("doc_id")
+            name = batch.column("field")[0].as_py()
+            lens, known, at, starts, codes, rows = counted_terms(batch)
+            new = np.ones(len(codes), bool)
+            new[1:] = codes[1:] != codes[:-1]
+            first = np.append(np.flatnonzero(new), len(codes))  # of each term among the pairs
+            ends = np.append(starts, len(at))
+            base = ends[first]  # of each term among the positions
+            term = known.take(pa.array(codes[first[:-1]]))
+            low, cuts = splits[name]
+            words, cuts = np.array([w or "" for w in term.to_pylist()], object), np.array(cuts, object)
+            left, right = np.searchsorted(cuts, words, "left"), np.searchsorted(cuts, words, "right")
+            part = (low + left + turn % (right - left + 1)).astype(np.int32)
+            turn += 1
+            pairs = np.diff(first)
+            ends_at = np.arange(len(starts)) + np.repeat(np.arange(len(pairs)), pairs)  # one more entry a term, for the end of its last pair
+            inner = np.empty(len(starts) + len(pairs), np.int32)
+            inner[ends_at] = starts - np.repeat(base[:-1], pairs)
+            inner[first[1:] + np.arange(len(pairs))] = np.diff(base)
+            lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+            columns = [pa.array(part), pa.array([name] * len(part), pa.string()), term, lists(first, ids.take(pa.array(rows))), lists(first, pa.array(lens[rows].astype(np.int32))), lists(first + np.arange(len(first)), pa.array(inner)), lists(base, pa.array(at))]
+            out = pa.RecordBatch.from_arrays(columns, ["part", "field", "term", "ids", "lens", "starts", "positions"])
+            for i in range(0, len(part), 20_000):
+                yield out.slice(i, 20_000)
+
+    key = terms.schema["doc_id"].dataType.simpleString()
+    return terms.mapInArrow(run, f"part int, field string, term string, ids array<{key}>, lens array<int>, starts array<int>, positions array<int>")
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """Postings from blocks, in their order."""
+
+    def run(batches):
+        for batch in batches:
+            ids, lens, starts, positions = (batch.column(c) for c in ("ids", "lens", "starts", "positions"))
+            pairs = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not pairs.sum():
+                continue
+            block = np.repeat(np.arange(len(pairs)), pairs)
+            held = starts.flatten().to_numpy(zero_copy_only=False)
+            at = np.arange(len(block)) + block  # starts have one more entry a block
+            tf = (held[at + 1] - held[at]).astype(np.int32)
+            offsets = np.append(0, np.cumsum(tf)).astype(np.int32)
+            columns = [batch.column("field").take(pa.array(block)), batch.column("term").take(pa.array(block)), ids.flatten(), pa.array(tf), lens.flatten(), pa.ListArray.from_arrays(pa.array(offsets), positions.flatten())]
+            out = pa.RecordBatch.from_arrays(columns, ["field", "term", "doc_id", "tf", "len", "positions"])
+            for i in range(0, len(block), 50_000):
+                yield out.slice(i, 50_000)
+
+    key = blocks.schema["ids"].dataType.elementType.simpleString()
+    return blocks.mapInArrow(run, f"field string, term string, doc_id {key}, tf int, len int, positions array<int>")
+
+
+PAIRS_A_FILE = 2_000_000
+SAMPLED = 4_000  # documents; they decide where files begin and end, and nothing else
+
+
+def laid_out(index: Index, sizes: DataFrame, least: int) -> DataFrame:
+    """Postings by range of (field, term), sorted by them, in as many files as they need; a term's documents come in sorted runs. sizes: as written."""
+    held = {r["field"]: (r["n"], r["pairs"]) for r in sizes.groupBy("field").agg(F.count("*").alias("n"), F.sum("n_terms").alias("pairs")).collect()}  # one row a field
+    total = max(1, sum(p for _, p in held.values()))
+    files = max(least, -(-total // PAIRS_A_FILE))
+    splits: dict[str, tuple[int, list[str]]] = {}
+    low = 0
+    for name in index.fields:
+        n, pairs = held.get(name, (0, 0))
+        parts = max(1, round(files * pairs / total))
+        some = index.docs.sample(min(1.0, SAMPLED / n), 1) if n > SAMPLED else index.docs  # before the analysis
+        counts = some.select(F.explode(F.array_distinct(field_tokens(some, name, index.analyzers))).alias("term")).groupBy("term").count().collect() if parts > 1 else []
+        counts = sorted((r["term"] or "", r["count"]) for r in counts)
+        ends = np.cumsum([c for _, c in counts])
+        cuts = [counts[int(np.searchsorted(ends, ends[-1] * i / parts, "left"))][0] for i in range(1, parts)] if counts else []
+        splits[name] = (low, cuts)
+        low += len(cuts) + 1
+    blocks = reduce(DataFrame.unionAll, [blocks_of(index.terms.filter(F.col("field") == f), splits) for f in index.fields])
+    dealt = blocks.repartitionById(low, "part").sortWithinPartitions("field", "term", F.get("ids", F.lit(0)))
+    return unpacked(dealt)

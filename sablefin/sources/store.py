@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablefin.functions.analyzers import PerField, fingerprint, named_analyzers
-from sablefin.operators.index import TABLES, Index, norms_of
+from sablefin.operators.index import TABLES, Index, field_stats_of, laid_out, norms_of, sizes_of
 
 
 class Files:
@@ -100,15 +100,27 @@ class Store:
         name = f"v-{uuid.uuid4().hex}"
         at = f"{self.root}/{name}"
         n = files_a_table or int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        # By range of (field, term, doc_id), so that a frequent term spreads over files and rare ones share them.
-        index.postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{at}/postings")
+        sizes = None
+        if index.terms is not None:
+            sizes_of(index.terms).write.parquet(f"{at}/sizes")
+            sizes = self.spark.read.parquet(f"{at}/sizes")
+            sizes.select("field", "doc_id", "len").write.parquet(f"{at}/lengths")
+        else:
+            index.lengths.write.parquet(f"{at}/lengths")
+        # By range of (field, term), so that a frequent term spreads over files and rare ones share them.
+        once = sizes is not None and sizes.groupBy("field", "doc_id").count().filter("count > 1").isEmpty()
+        if once:
+            postings = laid_out(index, sizes, n)
+        else:  # rows of one id have to meet
+            postings = index.postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
+        postings.write.parquet(f"{at}/postings")
         written = self.spark.read.parquet(f"{at}/postings")
         stats = written.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
         stats.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/term_stats")
         index.docs.write.parquet(f"{at}/docs")
-        index.lengths.write.parquet(f"{at}/lengths")
-        norms_of(written).write.parquet(f"{at}/norms")
-        index.field_stats.coalesce(1).write.parquet(f"{at}/field_stats")
+        (sizes.filter("n_terms > 0").select("field", "doc_id", "n_terms", "s1", "s2") if once else norms_of(written)).write.parquet(f"{at}/norms")
+        field_stats_of(self.spark.read.parquet(f"{at}/lengths")).coalesce(1).write.parquet(f"{at}/field_stats")
+        self.files.delete(f"{at}/sizes")
         for table, df in (more or {}).items():
             df.write.parquet(f"{at}/{table}")
         return name
