@@ -148,8 +148,12 @@ def expansions(query: A.Fuzzy, index: Index) -> DataFrame:
 
 @hits.register
 def _(query: A.Fuzzy, index: Index) -> DataFrame:
-    words = F.broadcast(expansions(query, index))  # at most max_expansions rows
-    found = index.postings.filter(F.col("field") == query.field).select("doc_id", "term", "tf", "len").join(words, "term")
+    near = expansions(query, index).collect()  # max_expansions rows; as literals they reach the scan
+    if not near:
+        return empty(index)
+    words = index.spark.createDataFrame([tuple(r) for r in near], "term string, df long, edits int")
+    found = index.postings.filter((F.col("field") == query.field) & F.col("term").isin(sorted(r["term"] for r in near)))
+    found = found.select("doc_id", "term", "tf", "len").join(F.broadcast(words), "term")
     similar = F.greatest(1 - 0.2 * F.col("edits"), F.lit(0.0))
     rows = one_row(found, index.stats(query.field))
     score = similar * scores.bm25(F.col("tf"), F.col("len"), F.col("avg"), F.col("n"), F.col("df"), query.boost)

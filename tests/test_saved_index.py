@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from sablefin.functions.analyzers import SIMPLE
 from sablefin.operators import index as I
+from sablefin.plans import ast as A
+from sablefin.plans.compile import hits
 from sablefin.sources.store import Store
 
 ODD = {
@@ -44,3 +46,11 @@ def test_one_shuffle(spark, tmp_path):
     sizes = I.sizes_of(index.terms)
     plan = I.laid_out(index, sizes, 8)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") == 1 and "Aggregate" not in plan and "Join" not in plan
+
+
+def test_fuzzy_terms_reach_the_scan(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.save(I.build(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), ["text"]))
+    plan = hits(A.Fuzzy("text", "tion", max_edits=1), store.open())._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan or "EqualTo(term" in plan
+    assert hits(A.Fuzzy("text", "qqqqqqqqqq", max_edits=1), store.open()).count() == 0
